@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillhouse.llm import near_duplicates, split_overlap, vector_neighbours
+from stillhouse.llm import encoding_repair, near_duplicates, packing, split_overlap, test_leaks, vector_neighbours
 from stillhouse.sources.tables import table
 
 _NEAR = near_duplicates.NearParams(width=3, similarity=0.45)
@@ -54,5 +54,47 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.split_report(split_overlap.split_groups(table(spark, d, "manifest"))[0])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report)}
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return test_leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p9_clean_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of the documents that stay when those with a leaked passage are removed."""
+    return table(spark, d, "documents").select("doc_id").join(_leaks(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents that it leaked into."""
+    hits = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
+    items = table(spark, d, "eval_items").select("item_id", "suite").distinct()
+    return items.join(hits, "item_id", "left").select("item_id", "suite", F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"), F.coalesce("longest", F.lit(0)).cast("int").alias("longest"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.repaired(table(spark, d, "documents"), changed_only=True).select("doc_id").distinct()
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return encoding_repair.repaired(table(spark, d, "documents"), changed_only=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p8_containers,
+        p9_found, p9_matches, p9_clean_documents, p9_items, p10_found, p10_restored,
+    )
+}
 SQL: dict[str, str] = {}
