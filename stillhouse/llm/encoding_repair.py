@@ -38,8 +38,8 @@ class RepairParams:
     by themselves, so they need more)."""
 
     least_information: float = 900.0
-    utf8_gain: float = 1.0
-    one_byte_gain: float = 3.0
+    utf8_gain: float = 0.25
+    one_byte_gain: float = 1.8
     depth: int = 3
 
 
