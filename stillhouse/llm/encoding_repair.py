@@ -180,58 +180,78 @@ def _bytes_of(run: str, table: str) -> bytes | None:
         return bytes(out)
 
 
-def _remap(text: str, wrong: str, right: str) -> tuple[str, int]:
-    """Text with its runs beyond ASCII mapped back where the bytes allow it, and the number of characters changed."""
-    changed = 0
-
-    def one(m: re.Match) -> str:
-        nonlocal changed
-        data = _bytes_of(m.group(), wrong)
-        if data is None:
-            return m.group()
-        try:
-            new = data.decode(right)
-        except UnicodeDecodeError:
-            return m.group()
-        if new == m.group() or any(0x80 <= ord(x) <= 0x9F or ord(x) == 0xFFFD for x in new) and right != "utf-8":
-            return m.group()
-        changed += len(m.group())
-        return new
-
-    return _NON_ASCII.sub(one, text), changed
-
-
-def repair_text(text: str, model: _Model, params: RepairParams, cache: dict) -> tuple[str, list[str]]:
+_MAPPINGS = [(x, "utf-8") for x in UTF8_AS] + ONE_BYTE
+_DIGIT = re.compile("[0-9]")
+
+
+class Mapped(dict):
+    """A run beyond ASCII to what each inverse mapping makes of it; mappings that its bytes don't allow are left out."""
+
+    def __missing__(self, run: str) -> dict[int, str]:
+        if len(self) > 200_000:
+            self.clear()
+        out: dict[int, str] = {}
+        coded: dict[str, bytes | None] = {}
+        for k, (wrong, right) in enumerate(_MAPPINGS):
+            if wrong not in coded:
+                coded[wrong] = _bytes_of(run, wrong)
+            data = coded[wrong]
+            if data is None:
+                continue
+            try:
+                new = data.decode(right)
+            except UnicodeDecodeError:
+                continue
+            if new != run and (right == "utf-8" or not _LOST.search(new)):
+                out[k] = new
+        self[run] = out
+        return out
+
+
+def _best_mapping(run: str, model: _Model, params: RepairParams, mapped: Mapped) -> int | None:
+    """The inverse mapping that makes the run's pairs most usual, if it gains enough."""
+    pieces = _NON_ASCII.findall(run)
+    ways = [mapped[p] for p in pieces]
+    tried = sorted(set().union(*ways)) if ways else []
+    if not tried:
+        return None
+    here, top, best = model.cost(f" {run} "), 0.0, None
+    between = _NON_ASCII.split(run)
+    for k in tried:
+        least = params.utf8_gain if _MAPPINGS[k][1] == "utf-8" else params.one_byte_gain
+        changed = sum(len(p) for p, w in zip(pieces, ways) if k in w)
+        if here < (least + 1.0) * changed:  # no text costs less than a bit a character
+            continue
+        new = "".join(x for p, w, t in zip([*pieces, ""], [*ways, {}], between) for x in (t, w.get(k, p)))
+        gain = here - model.cost(f" {new} ")
+        if gain >= least * changed and gain > top:
+            top, best = gain, k
+    return best
+
+
+def repair_text(text: str, model: _Model, params: RepairParams, mapped: Mapped, known: dict) -> tuple[str, list[str]]:
     """The text with its garbled runs restored as far as possible, and the mappings used."""
     kinds: list[str] = []
     for _ in range(params.depth):
+        if not any(mapped[p] for p in _NON_ASCII.findall(text)):
+            break
         out, at, did = [], 0, False
         for s, e in model.runs(text):
             run = text[s:e]
-            if not _NON_ASCII.search(run):
-                continue
-            best = cache.get(run)
-            if best is None:
-                best = ("", run)
-                here = model.cost(f" {run} ")
-                top = 0.0
-                for wrong, right in [(x, "utf-8") for x in UTF8_AS] + ONE_BYTE:
-                    new, changed = _remap(run, wrong, right)
-                    if not changed:
-                        continue
-                    gain = here - model.cost(f" {new} ")
-                    least = (params.utf8_gain if right == "utf-8" else params.one_byte_gain) * changed
-                    if gain >= least and gain > top:
-                        top, best = gain, (f"{right} as {wrong}", new)
-                if len(cache) > 200_000:
-                    cache.clear()
-                cache[run] = best
-            if best[0]:
+            key = _DIGIT.sub("0", run)  # all digits are of one class
+            if key in known:
+                k = known[key]
+            else:
+                if len(known) > 200_000:
+                    known.clear()
+                k = known[key] = _best_mapping(run, model, params, mapped)
+            if k is not None:
                 out.append(text[at:s])
-                out.append(best[1])
+                out.append(_NON_ASCII.sub(lambda m: mapped[m.group()].get(k, m.group()), run))
                 at, did = e, True
-                if best[0] not in kinds:
-                    kinds.append(best[0])
+                name = f"{_MAPPINGS[k][1]} as {_MAPPINGS[k][0]}"
+                if name not in kinds:
+                    kinds.append(name)
         if not did:
             break
         out.append(text[at:])
@@ -253,12 +273,12 @@ def repaired(documents: DataFrame, params: RepairParams = RepairParams(), change
     shared = spark.sparkContext.broadcast((pairs, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = None, {}
+        model, mapped, known = None, Mapped(), {}
         for batch in batches:
             model = model or _Model(*shared.value, params)
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                new, kinds = (text, []) if not text or text.isascii() else repair_text(text, model, params, cache)
+                new, kinds = (text, []) if not text or text.isascii() else repair_text(text, model, params, mapped, known)
                 lost = bool(new and not new.isascii() and _LOST.search(new))
                 if kinds or lost or not changed_only:
                     rows.append((doc, bool(kinds) or lost, bool(kinds), lost, kinds, new))
