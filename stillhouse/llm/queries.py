@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillhouse.llm import encoding_repair, near_duplicates, packing, scan_repair, split_overlap, test_leaks, vector_neighbours
+from stillhouse.llm import encoding_repair, near_duplicates, packing, pair_defects, scan_repair, split_overlap, test_leaks, vector_neighbours
 from stillhouse.sources.tables import table
 
 _NEAR = near_duplicates.NearParams(width=3, similarity=0.45)
@@ -54,6 +54,17 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.split_report(split_overlap.split_groups(table(spark, d, "manifest"))[0])
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects.defects(table(spark, d, "qa_benchmark")).select("id", "defect")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Defects by source of the pair."""
+    qa = table(spark, d, "qa_benchmark")
+    found = pair_defects.defects(qa)
+    return qa.select("id", "source").distinct().join(found, "id").groupBy("source", "defect").agg(F.count("*").alias("pairs"))
+
+
 def _pages_and_chunks(spark: SparkSession, d: str) -> DataFrame:
     return scan_repair.records_of(table(spark, d, "loaded_documents"), table(spark, d, "document_chunks"))
 
@@ -105,7 +116,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p7_found, p7_clean, p8_containers,
+        p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p6_found, p6_report, p7_found, p7_clean, p8_containers,
         p9_found, p9_matches, p9_clean_documents, p9_items, p10_found, p10_restored,
     )
 }
