@@ -1 +1 @@
-"""Part of the stillhouse engine."""
+"""Structured Streaming forms of ingest and rollups."""
