@@ -159,22 +159,26 @@ def parse_observations(observations):
     ``number`` (null where the value has none), ``stated_unit`` (from the value, else the unit column, else
     the name; null where none is known). Nulls in any column give nulls; extra columns pass through.
     """
-    value = F.col("value_json")
-    is_object = F.ltrim(value).startswith("{")
-    fields = F.from_json(value, "value string, result string, val string, unit string, units string, uom string")
-    text = F.trim(F.when(is_object, F.coalesce(fields["value"], fields["result"], fields["val"])).otherwise(F.get_json_object(value, "$")))
+    value = F.trim("value_json")
+    first = F.substring(value, 1, 1)
+    is_number, is_text, is_object = first.rlike("[-0-9]"), first == '"', first == "{"
+    # most values are bare numbers: only the others are parsed as JSON and searched for numbers and units
     base, tail = property_and_unit(F.col("property_name"))
-    out = observations.withColumns({"property": base, "_tail": tail, "_text": text, "_unit_in_value": F.when(is_object, F.coalesce(fields["unit"], fields["units"], fields["uom"]))})
+    out = observations.withColumns({"property": base, "_tail": tail, "_fields": F.when(is_object, F.from_json(value, "value string, result string, val string, unit string, units string, uom string"))})
+    fields = F.col("_fields")
+    text = F.when(is_number, value).when(is_text, F.trim(F.get_json_object(value, "$"))).when(is_object, F.trim(F.coalesce(fields["value"], fields["result"], fields["val"]))).otherwise(F.get_json_object(value, "$"))
+    out = out.withColumn("_text", text)
     out = out.withColumn("value_text", F.when(~F.lower("_text").isin(NO_VALUE), F.col("_text")))
-    out = out.withColumn("_digits", F.regexp_extract("value_text", NUMBER, 1))
+    bare = F.when(is_number, F.col("value_text").try_cast("double"))
+    out = out.withColumn("_digits", F.when(bare.isNull(), F.regexp_extract("value_text", NUMBER, 1)))
     around = F.regexp_replace(F.replace(F.col("value_text"), F.col("_digits")), r"(?i)\([a-z ]*\)|^\s*[<>~]=?|^\s*(?:ca\.?|approx\.?|about)\s", "")
     out = out.withColumns({
-        "number": F.when(F.col("_digits") != "", to_number(F.col("_digits"))),
+        "number": F.coalesce(bare, F.when(F.col("_digits") != "", to_number(F.col("_digits")))),
         "common_unit": literal_map(COMMON_UNIT)[F.col("property")],
-        "_in_text": F.coalesce(F.col("_unit_in_value"), F.when(F.col("_digits") != "", around)),
+        "_in_text": F.when(is_object, F.coalesce(fields["unit"], fields["units"], fields["uom"])).when(is_text & (F.col("_digits") != ""), around),
     })
     stated = F.coalesce(unit_of(plain_key(F.col("_in_text"))), unit_of(plain_key(F.col("unit"))), unit_of(F.col("_tail")))
-    return out.withColumn("stated_unit", stated).drop("_tail", "_text", "_unit_in_value", "_digits", "_in_text")
+    return out.withColumn("stated_unit", stated).drop("_tail", "_fields", "_text", "_digits", "_in_text")
 
 
 def common_value(number: Column, unit: Column, common: Column) -> Column:
