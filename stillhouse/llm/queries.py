@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillhouse.llm import encoding_repair, near_duplicates, packing, pair_defects, scan_repair, split_overlap, test_leaks, vector_neighbours
+from stillhouse.llm.sql import SQL  # noqa: F401  (the driver's equivalents)
 from stillhouse.sources.tables import table
 
 _NEAR = near_duplicates.NearParams(width=3, similarity=0.45)
@@ -119,5 +120,4 @@ QUERIES = {
         p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p6_found, p6_report, p7_found, p7_clean, p8_containers,
         p9_found, p9_matches, p9_clean_documents, p9_items, p10_found, p10_restored,
     )
-}
-SQL: dict[str, str] = {}
+}
\ No newline at end of file
