@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillhouse.llm import encoding_repair, near_duplicates, packing, pair_defects, scan_repair, split_overlap, test_leaks, vector_neighbours
+from stillhouse.llm import encoding_repair, near_duplicates, packing, pair_defects, scan_repair, split_overlap, leak_search, vector_neighbours
 from stillhouse.llm.sql import SQL  # noqa: F401  (the driver's equivalents)
 from stillhouse.sources.tables import table
 
@@ -83,7 +83,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
-    return test_leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leak_search.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -172,7 +172,7 @@ def all_neighbours(vectors: DataFrame, k: int = 5, radius: float = float("inf"),
     meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
     sent = own.select("id", "v", "block", F.explode(meet).alias("t")).select("t.i", "t.j", "block", "id", "v")
 
-    def pair(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         a = rows[rows["block"] == i]
         xa, ids_a = _matrix(a["v"]), a["id"].to_numpy(np.int64)
