@@ -30,7 +30,10 @@ class UnitParams:
     trees: int = 12
     depth: int = 9
     confident: float = 0.8
-    margin: float = 0.08
+    #: A number is impossible on the common scale beyond the known range widened by the first factor (for temperatures: by
+    #: that share of the span over 1), and usual on another one within the range widened by the second.
+    impossible: float = 1.5
+    usual: float = 1.25
     seed: int = 11
 
 
@@ -77,13 +80,14 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
     by = {r["property"]: (r["low"], r["middle"], r["high"]) for r in ranges}
     given = lambda k: literal_map({p: float(v[k]) for p, v in by.items()})[F.col("property")] if by else F.lit(None).cast("double")
     low, high = given(0), given(2)
-    warm = F.col("common_unit") == "degC"
-    slack = (high - low) * params.margin
-    least = F.when(warm | (low <= 0), low - slack).otherwise(low * (1 - params.margin))
-    most = F.when(warm | (low <= 0), high + slack).otherwise(high * (1 + params.margin))
-    fits = lambda x: (x >= least) & (x <= most)
+    additive = (F.col("common_unit") == "degC") | (low <= 0)
+
+    def fits(x: F.Column, factor: float) -> F.Column:
+        slack = (high - low) * (factor - 1)
+        return F.when(additive, (x >= low - slack) & (x <= high + slack)).otherwise((x >= low / factor) & (x <= high * factor))
+
     centre = F.log10(F.greatest(F.abs(given(1)), F.lit(1e-9)))
-    rows = parsed.withColumn("on_common", F.coalesce(fits(F.col("number")), F.lit(True)))
+    rows = parsed.withColumn("on_common", F.coalesce(fits(F.col("number"), params.impossible), F.lit(True)))
 
     stated = rows.filter("stated_unit is not null and (stated_unit <> common_unit or on_common)")
     n = parsed.count()
@@ -111,7 +115,7 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
         scored = out.select(*rows.columns[:5], "ingested_at", "on_common", names[F.col("prediction").cast("int")].alias("guess"), rated.alias("confidence"))
         scored = scored.unionByName(rows.filter("stated_unit <> common_unit").select(*rows.columns[:5], "ingested_at", "on_common").withColumns({"guess": F.col("stated_unit"), "confidence": F.lit(1.0)}))
     told_other = F.coalesce(F.col("stated_unit") != F.col("common_unit"), F.lit(False))
-    usual = F.coalesce(fits(common_value(F.col("number"), F.col("guess"), F.col("common_unit"))), F.lit(False))
+    usual = F.coalesce(fits(common_value(F.col("number"), F.col("guess"), F.col("common_unit")), params.usual), F.lit(False))
     moved = ~F.col("on_common") & (F.coalesce(F.col("confidence"), F.lit(0.0)) >= params.confident) & usual & (F.col("guess") != F.col("common_unit"))
     unit = F.when(told_other, F.col("stated_unit")).when(moved, F.col("guess")).otherwise(F.col("common_unit"))
     result = scored.select(
