@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stillhouse.operators import knn as K
+from stillhouse.operators import latent as L
 from stillhouse.sources.tables import table
 
 TARGETS = ["bulk_property:density_20c", "bulk_property:saturates", "bulk_property:bp_50", "bulk_property:sulfur"]
@@ -143,7 +144,29 @@ def masked_features(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (profile_features, knn_shared_features, knn_scaled, knn_weighted, feature_target_weights, feature_redundancy, idw_property_estimates, holdout_errors, zscore_neighbours, property_inventory, masked_features)}
+def pca_scores(spark, d):
+    """Five principal components of the profiles, fitted on the training split."""
+    x = _long(spark, d)
+    train, _ = _split(spark, d)
+    names = L.feature_list(x)
+    t = L.standard_vectors(train, train, names)
+    return L.pca_scores(t, L.standard_vectors(x, train, names), 5).withColumn("score", F.round("score", 5))
+
+
+def pls_scores(spark, d):
+    """Four components of the other features towards density, fitted on the training split."""
+    target = TARGETS[0]
+    x = _long(spark, d)
+    train, _ = _split(spark, d)
+    rest = x.filter(F.col("feature") != target)
+    base = train.filter(F.col("feature") != target)
+    names = L.feature_list(rest)
+    y = train.filter(F.col("feature") == target).select("id", F.col("value").alias("y"))
+    t = L.standard_vectors(base, base, names).join(y, "id")
+    return L.pls_scores(t, L.standard_vectors(rest, base, names), 4).withColumn("score", F.round("score", 5))
+
+
+QUERIES = {f.__name__: f for f in (pca_scores, pls_scores, profile_features, knn_shared_features, knn_scaled, knn_weighted, feature_target_weights, feature_redundancy, idw_property_estimates, holdout_errors, zscore_neighbours, property_inventory, masked_features)}
 _OUT = "select query_id, id, rank, shared, round(distance, 6) as distance from ({0})"
 SQL = {
     "profile_features": f"with {_LONG} select feature, count(*) as n, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as sd, round(min(value), 6) as low, round(max(value), 6) as high from lp group by 1",
