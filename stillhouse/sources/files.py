@@ -41,10 +41,13 @@ def load_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def registered_sources(registry: DataFrame, documents: DataFrame) -> DataFrame:
     """Documents below an enabled root of the registry (name, path, enabled, hint), with its name and hint.
 
-    The registry is a small table of roots; the longest root that contains a document wins.
+    The registry is a small table of roots, at most 10,000, else the call fails; the longest root that contains a
+    document wins.
     """
+    if registry.count() > 10_000:
+        raise ValueError("more than 10,000 roots")
     r = registry.filter("enabled").select(F.col("name").alias("registered"), F.col("path").alias("root"), "hint")
-    hits = documents.join(F.broadcast(r.limit(10_000)), F.col("source").startswith(F.col("root")))
+    hits = documents.join(F.broadcast(r), F.col("source").startswith(F.col("root")))
     best = F.max(F.struct(F.length("root").alias("n"), "registered", "hint")).alias("b")
     return hits.groupBy("source", "section", "text").agg(best).select("source", "section", "text", F.col("b.registered").alias("registered"), F.col("b.hint").alias("hint"))
 
