@@ -52,8 +52,8 @@ def typed_value(kind: str) -> Column:
     """The column ``value_text`` read as ``kind``; null where it isn't usable."""
     text = F.col("value_text")
     if kind == "number":
-        # without a unit, the number stands on the common scale
-        return F.when(F.col("common_unit").isNull(), F.col("number")).otherwise(F.coalesce(common_value(F.col("number"), F.col("stated_unit"), F.col("common_unit")), F.col("number")))
+        # without a known scale, the number stands on the common one
+        return F.when(F.col("common_unit").isNull(), F.col("number")).otherwise(F.coalesce(F.col("scaled"), common_value(F.col("number"), F.col("stated_unit"), F.col("common_unit")), F.col("number")))
     if kind == "integer":
         x = F.col("number")
         return F.when(x % 1 == 0, x.cast("long"))
@@ -64,10 +64,11 @@ def typed_value(kind: str) -> Column:
     return F.lower(F.trim(text))
 
 
-def wide_table(observations: DataFrame, samples: DataFrame, attributes: dict[str, str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def wide_table(observations: DataFrame, samples: DataFrame, attributes: dict[str, str] | None = None, scales: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """One row per sample with one typed column per attribute, and the attributes with their types.
 
-    The attribute list and types are discovered first (unless given). Of several usable values of a cell the
+    The attribute list and types are discovered first (unless given). Numbers come out in common units: by ``scales``
+    (observation_id once, common_value), else by the stated unit. Of several usable values of a cell the
     one with the latest created_at (as UTC) wins, then the larger observation_id; unusable values never win.
     Ids come out as in ``samples``: matched without case, separators and blanks, the smallest spelling where
     several match, the observation's own trimmed id where none does. Observations without id or known property
@@ -77,6 +78,10 @@ def wide_table(observations: DataFrame, samples: DataFrame, attributes: dict[str
     parsed = parse_observations(observations).filter("property is not null and value_text is not null").select(*cols)
     parsed = stage(parsed)
     kinds = attributes or discover_attributes(parsed)
+    if scales is None:
+        parsed = parsed.withColumn("scaled", F.lit(None).cast("double"))
+    else:
+        parsed = parsed.join(scales.select("observation_id", F.col("common_value").alias("scaled")), "observation_id", "left")
     order = F.coalesce(F.try_to_timestamp("created_at").cast("long"), F.lit(-(2**62)))
     names = {a: f"a{i}" for i, a in enumerate(kinds)}
     cells = [

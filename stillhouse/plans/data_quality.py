@@ -33,7 +33,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    return wide_table(table(spark, d, "property_observations"), table(spark, d, "samples"))[0]
+    o = table(spark, d, "property_observations")
+    return wide_table(o, table(spark, d, "samples"), scales=one_per_observation(recorded_scales(o)))[0]
 
 
 QUERIES = {"p1_found": p1_found, "p1_common_values": p1_common_values, "p1_review_by_source": p1_review_by_source, "p2_found": p2_found, "p2_wide": p2_wide}

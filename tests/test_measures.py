@@ -82,6 +82,13 @@ def test_wide_table_cells(spark):
     assert filled_cells(wide, kinds).filter("sample_id = 'pf_2'").count() == 2
 
 
+def test_wide_table_by_scales(spark):
+    o = observation(spark, [row(1, "sulfur", "20000", None), row(2, "sulfur", "1.0", None, "pf_2")])
+    scales = spark.createDataFrame([("o1", 2.0)], "observation_id string, common_value double")
+    got = {r["sample_id"]: r["sulfur"] for r in wide_table(o, spark.createDataFrame([], "sample_id string"), scales=scales)[0].collect()}
+    assert got == {"pf_1": 2.0, "pf_2": 1.0}
+
+
 def test_wide_table_of_nothing(spark):
     wide, kinds = wide_table(observation(spark, []), spark.createDataFrame([], "sample_id string"))
     assert wide.count() == 0 and kinds == {} and filled_cells(wide, kinds).count() == 0
