@@ -19,7 +19,11 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="stillhouse-")) / "stillhouse_modules.zip"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or ""
+    # in the cluster's shared folder where it is a mounted one; otherwise Spark itself hands the file to the workers
+    folder = Path(shared.removeprefix("file://").removeprefix("file:")) if shared.startswith(("file:", "/")) else Path(tempfile.mkdtemp(prefix="stillhouse-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / f"stillhouse_modules_{app}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
