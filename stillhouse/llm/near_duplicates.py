@@ -23,16 +23,18 @@ from stillhouse.sources.tables import stage
 
 @dataclass(frozen=True)
 class NearParams:
-    """A pair at the similarity limit s keeps a segment of four symbols but for one with chance
-    s^4 + 4 s^3 (1-s); the defaults for 0.45 miss it in all 24 segments once in 750, for 0.8 (6 segments) once in 1,000,000."""
+    """A pair at the similarity limit s keeps a segment of four symbols but for one with chance s^4 + 4 s^3 (1-s); two of
+    the 32 segments must be kept, which unrelated texts that share a few phrases hardly ever manage. The defaults miss a
+    pair right at 0.45 once in 600, at 0.55 once in 400,000."""
 
     width: int = 5
     similarity: float = 0.8
-    segments: int = 24
+    segments: int = 32
     seed: int = 5
 
 
 _SYMBOLS = 4
+_KEPT_SEGMENTS = 2
 
 
 def _fingerprints(params: NearParams, kind: str):
@@ -40,7 +42,6 @@ def _fingerprints(params: NearParams, kind: str):
     rng = np.random.default_rng(params.seed)
     mult = (rng.integers(1, 2**63, symbols, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     salt = rng.integers(0, 2**63, symbols, dtype=np.uint64)
-    places = np.arange(symbols).reshape(params.segments, _SYMBOLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordIds()
@@ -48,35 +49,53 @@ def _fingerprints(params: NearParams, kind: str):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, ends = word_ids(part.column("text").to_pylist(), cache)
-                keep, sets, prints, keys, whole = [], [], [], [], []
+                keep, sets, prints, whole = [], [], [], []
                 for i in range(part.num_rows):
                     s = np.unique(shingles(ids[ends[i] : ends[i + 1]], params.width))
                     if not len(s):
                         continue
                     low = np.full(symbols, np.iinfo(np.uint64).max, dtype=np.uint64)
-                    for k in range(0, len(s), 4096):  # a very long text in slices
-                        low = np.minimum(low, mix(s[k : k + 4096, None] * mult[None, :] + salt[None, :]).min(axis=0))
-                    seg = low[places]  # segments x symbols
-                    ball = np.empty((params.segments, _SYMBOLS), dtype=np.uint64)
-                    for free in range(_SYMBOLS):
-                        h = np.full(params.segments, free + 1, dtype=np.uint64)
-                        for k in range(_SYMBOLS):
-                            if k != free:
-                                h = mix(h * np.uint64(131) + seg[:, k])
-                        ball[:, free] = mix(h + np.arange(params.segments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    for k in range(0, len(s), 1024):  # a very long text in slices
+                        x = s[k : k + 1024, None] * mult[None, :]
+                        x += salt[None, :]
+                        x ^= x >> np.uint64(29)
+                        x *= np.uint64(0xBF58476D1CE4E5B9)
+                        low = np.minimum(low, x.min(axis=0))
                     keep.append(i)
                     sets.append(s.view(np.int64))
-                    prints.append((low >> np.uint64(33)).astype(np.int32))
-                    keys.append(ball.ravel().view(np.int64))
+                    prints.append(mix(low).view(np.int64).astype(np.int32))
                     whole.append(f"{int(np.bitwise_xor.reduce(mix(s))):016x}{int(np.add.reduce(mix(s ^ np.uint64(7)))):016x}{len(s)}")
                 if keep:
                     lists = lambda xs, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), t))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id").take(pa.array(keep)), pa.array(whole), lists(sets, pa.int64()), lists(prints, pa.int32()), lists(keys, pa.int64())],
-                        ["id", "same", "shingles", "print", "keys"],
-                    )
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(keep)), pa.array(whole), lists(sets, pa.int64()), lists(prints, pa.int32())], ["id", "same", "shingles", "print"])
 
-    return run, f"id {kind}, same string, shingles array<bigint>, print array<int>, keys array<bigint>"
+    return run, f"id {kind}, same string, shingles array<bigint>, print array<int>"
+
+
+def _segment_keys(params: NearParams):
+    """Rows (no, segment, key): in each segment of a fingerprint the keys of its Hamming ball, one symbol left open at a time."""
+    places = np.arange(params.segments * _SYMBOLS).reshape(params.segments, _SYMBOLS)
+    salt = np.arange(params.segments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                flat = part.column("print").flatten().to_numpy()
+                seg = flat.reshape(-1, params.segments * _SYMBOLS)[:, places].astype(np.uint32).astype(np.uint64)  # rows x segments x symbols
+                ball = np.empty((*seg.shape[:2], _SYMBOLS), dtype=np.uint64)
+                for free in range(_SYMBOLS):
+                    h = np.full(seg.shape[:2], free + 1, dtype=np.uint64)
+                    for k in range(_SYMBOLS):
+                        if k != free:
+                            h = mix(h * np.uint64(131) + seg[:, :, k])
+                    ball[:, :, free] = mix(h + salt[None, :])
+                n = params.segments * _SYMBOLS
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column("no").to_numpy(), n)), pa.array(np.tile(np.repeat(np.arange(params.segments, dtype=np.int32), _SYMBOLS), part.num_rows)), pa.array(ball.ravel().view(np.int64))], ["no", "segment", "key"]
+                )
+
+    return run
 
 
 def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[DataFrame, DataFrame]:
@@ -87,20 +106,24 @@ def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[Dat
     id. Null, empty and texts shorter than a shingle have no links and no representative. An id that stands
     there several times with one text counts once. No partner or candidate is dropped.
     """
+    if params.segments > 63:
+        raise ValueError("at most 63 segments")
     run, schema = _fingerprints(params, dict(texts.dtypes)["id"])
-    marked = stage(texts.select("id", "text").filter("id is not null").mapInArrow(run, schema))
-    members = marked.groupBy("same").agg(F.min("id").alias("representative")).join(marked.select("same", "id").distinct(), "same").select("id", "representative", "same")
-    members = stage(members)
-    # one row per set of shingles, from the representative's row
-    one = marked.join(members.filter("id = representative").select("id", "same"), ["id", "same"]).dropDuplicates(["same"])
-    one = stage(one.withColumnRenamed("id", "rep"))
-    keys = one.select("rep", "same", F.explode("keys").alias("key"))
-    left, right = keys.select(F.col("same").alias("sa"), "key"), keys.select(F.col("same").alias("sb"), "key")
-    pairs = left.join(right, "key").filter("sa < sb").select("sa", "sb").distinct()
-    body = one.select("rep", "same", "shingles", "print")
+    marked = stage(texts.select("id", "text").filter("id is not null").mapInArrow(run, schema).withColumn("no", F.monotonically_increasing_id()))
+    first = marked.groupBy("same").agg(F.min(F.struct("id", "no")).alias("x"))
+    members = stage(marked.select("same", "id").distinct().join(first, "same").select("id", F.col("x.id").alias("representative")))
+    # one row per set of shingles: the others are taken away by their numbers, so that the wide rows stay where they are
+    others = marked.select("same", "no").join(first, "same").filter("no <> x.no").select("no")
+    one = marked.join(others, "no", "left_anti").select("no", F.col("id").alias("rep"), "shingles", "print")
+    keys = one.select("no", "print").mapInArrow(_segment_keys(params), "no bigint, segment int, key bigint")
+    left, right = keys.select(F.col("no").alias("na"), "key", "segment"), keys.select(F.col("no").alias("nb"), "key")
+    kept = F.bit_count(F.expr("bit_or(shiftleft(1L, segment))"))
+    met = left.join(right, "key").filter("na < nb").groupBy("na", "nb").agg(kept.alias("kept")).filter(F.col("kept") >= min(_KEPT_SEGMENTS, params.segments)).select("na", "nb")
+    pairs = stage(met)
+    body = one.join(pairs.select(F.explode(F.array("na", "nb")).alias("no")).distinct(), "no", "left_semi")
     a = body.select(*[F.col(c).alias(f"{c}_a") for c in body.columns])
     b = body.select(*[F.col(c).alias(f"{c}_b") for c in body.columns])
-    joined = pairs.join(a, pairs["sa"] == a["same_a"]).join(b, F.col("sb") == b["same_b"])
+    joined = pairs.join(a, pairs["na"] == a["no_a"]).join(b, F.col("nb") == b["no_b"])
     symbols = params.segments * _SYMBOLS
     slack = 4.5 * (params.similarity * (1 - params.similarity) * symbols) ** 0.5
     agree = F.size(F.filter(F.zip_with("print_a", "print_b", lambda x, y: x == y), lambda x: x))
@@ -108,7 +131,7 @@ def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[Dat
     similarity = F.col("common") / (F.size("shingles_a") + F.size("shingles_b") - F.col("common"))
     near = joined.filter(agree >= int(max(1, params.similarity * symbols - slack))).withColumn("common", common).withColumn("similarity", similarity)
     links = near.filter(F.col("similarity") >= params.similarity).select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "similarity")
-    return stage(links), members.select("id", "representative")
+    return stage(links), members
 
 
 def near_pairs(texts: DataFrame, params: NearParams = NearParams()) -> DataFrame:
