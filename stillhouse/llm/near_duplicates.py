@@ -113,10 +113,10 @@ def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[Dat
     first = marked.groupBy("same").agg(F.min(F.struct("id", "no")).alias("x"))
     members = stage(marked.select("same", "id").distinct().join(first, "same").select("id", F.col("x.id").alias("representative")))
     # one row per set of shingles: the others are taken away by their numbers, so that the wide rows stay where they are
-    others = marked.select("same", "no").join(first, "same").filter("no <> x.no").select("no")
+    others = stage(marked.select("same", "no").join(first, "same").filter("no <> x.no").select("no"))  # few unless copies abound: then its size is known to the planner
     one = marked.join(others, "no", "left_anti").select("no", F.col("id").alias("rep"), "shingles", "print")
     keys = one.select("no", "print").mapInArrow(_segment_keys(params), "no bigint, segment int, key bigint")
-    left, right = keys.select(F.col("no").alias("na"), "key", "segment"), keys.select(F.col("no").alias("nb"), "key")
+    left, right = keys.select(F.col("no").alias("na"), "key", "segment"), keys.select(F.col("no").alias("nb"), "key", F.col("segment").alias("s2"))  # alike on both sides: one shuffle serves both
     kept = F.bit_count(F.expr("bit_or(shiftleft(1L, segment))"))
     met = left.join(right, "key").filter("na < nb").groupBy("na", "nb").agg(kept.alias("kept")).filter(F.col("kept") >= min(_KEPT_SEGMENTS, params.segments)).select("na", "nb")
     pairs = stage(met)
