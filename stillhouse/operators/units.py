@@ -29,7 +29,7 @@ class UnitParams:
     sample_rows: int = 24_000
     trees: int = 12
     depth: int = 9
-    confident: float = 0.8
+    confident: float = 0.6
     #: A number is impossible on the common scale beyond the known range widened by the first factor (for temperatures: by
     #: that share of the span over 1), and usual on another one within the range widened by the second.
     impossible: float = 1.5
@@ -42,12 +42,13 @@ _CLASSES = sorted({u for _, u in TO_COMMON})
 _FIELDS = ["property", "source", "property_group", "method"]
 
 
-def _scale_features(rows: DataFrame, centre: F.Column) -> DataFrame:
+def _scale_features(rows: DataFrame, centre: F.Column, place: F.Column) -> DataFrame:
     size = F.log10(F.greatest(F.abs("number"), F.lit(1e-9)))
     kind = literal_map(DIMENSION_OF_UNIT)[F.col("common_unit")]
     return rows.withColumns({
         "f_size": size,
         "f_relative": size - F.coalesce(centre, F.lit(0.0)),
+        "f_place": F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.coalesce(place, F.lit(0.5)))),
         "f_negative": (F.col("number") < 0).cast("double"),
         "f_is_text": F.coalesce(F.ltrim("value_json").startswith('"'), F.lit(False)).cast("double"),
         **{f"f_{k}": F.coalesce(kind == k, F.lit(False)).cast("double") for k in _KINDS},
@@ -87,6 +88,9 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
         return F.when(additive, (x >= low - slack) & (x <= high + slack)).otherwise((x >= low / factor) & (x <= high * factor))
 
     centre = F.log10(F.greatest(F.abs(given(1)), F.lit(1e-9)))
+    # where the number stands on the common scale: 0 and 1 are the ends of the known range, whatever the property
+    logs = [F.log10(F.greatest(x, F.lit(1e-12))) for x in (F.abs("number"), low, high)]
+    place = F.when(additive, (F.col("number") - low) / F.greatest(high - low, F.lit(1e-9))).otherwise((logs[0] - logs[1]) / F.greatest(logs[2] - logs[1], F.lit(1e-9)))
     rows = parsed.withColumn("on_common", F.coalesce(fits(F.col("number"), params.impossible), F.lit(True)))
 
     stated = rows.filter("stated_unit is not null and (stated_unit <> common_unit or on_common)")
@@ -95,12 +99,12 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
         scored = rows.withColumns({"guess": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     else:
         share = min(1.0, 1.3 * params.sample_rows / n)
-        sample = stage(_scale_features(stated.filter(F.pmod(F.xxhash64("observation_id"), F.lit(1_000_000)) < int(share * 1_000_000)), centre).limit(params.sample_rows).coalesce(2))
+        sample = stage(_scale_features(stated.filter(F.pmod(F.xxhash64("observation_id"), F.lit(1_000_000)) < int(share * 1_000_000)), centre, place).limit(params.sample_rows).coalesce(2))
         fit, held = (sample.filter(F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5)) != 0), sample.filter(F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5)) == 0))
         label = StringIndexer(inputCol="stated_unit", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")
         index = StringIndexer(inputCols=_FIELDS, outputCols=[f"i_{c}" for c in _FIELDS], handleInvalid="keep")
-        numeric = ["f_size", "f_relative", "f_negative", "f_is_text", *[f"f_{k}" for k in _KINDS]]
-        forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=64, featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p")
+        numeric = ["f_place", "f_size", "f_relative", "f_negative", "f_is_text", *[f"f_{k}" for k in _KINDS]]
+        forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=128, featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p")
         prepare = Pipeline(stages=[index, VectorAssembler(inputCols=numeric + [f"i_{c}" for c in _FIELDS], outputCol="features")]).fit(sample)
         labels = label.fit(sample)
         model = forest.fit(prepare.transform(labels.transform(fit)).select("features", "label"))
@@ -110,7 +114,7 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
         seen = {int(r["b"]): (r["right"], r["n"]) for r in told.groupBy("b").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect()}
         curve = _calibrate(seen)
         ask = rows.filter("stated_unit is null or stated_unit = common_unit")
-        out = model.transform(prepare.transform(_scale_features(ask, centre)))
+        out = model.transform(prepare.transform(_scale_features(ask, centre, place)))
         rated = F.array(*[F.lit(x) for x in curve])[F.least(F.floor(top * 20), F.lit(19)).cast("int")]
         scored = out.select(*rows.columns[:5], "ingested_at", "on_common", names[F.col("prediction").cast("int")].alias("guess"), rated.alias("confidence"))
         scored = scored.unionByName(rows.filter("stated_unit <> common_unit").select(*rows.columns[:5], "ingested_at", "on_common").withColumns({"guess": F.col("stated_unit"), "confidence": F.lit(1.0)}))
