@@ -10,6 +10,7 @@ original.
 from __future__ import annotations
 
 import math
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -46,12 +47,14 @@ _BAD_WORD = re.compile(r"(?:[^\W\d_]*[a-zäöüßéè])?[€!|$](?=[a-z])[^\s]*|
 
 @dataclass(frozen=True)
 class ScanParams:
-    """frequent_words bounds the list of frequent words that is sent to the tasks; rarer words are joined."""
+    """frequent_words bounds the list of frequent sound words that is sent to the tasks; other words are joined. rare_share:
+    a word in more texts than this share (and than two) isn't judged by its letter groups."""
 
     frequent_words: int = 20_000
     ratio: int = 8
     usual_gram: int = 20
     rare_gram: int = 3
+    rare_share: float = 0.0002
 
 
 def page_number(part: str) -> int | None:
@@ -303,11 +306,12 @@ def _inspect(model_counts):
                         continue
                     tail = a.rsplit("-", 1)[-1].lower()
                     pairs.append({"joined": tail + b.lower().split("-", 1)[0], "compound": f"{tail}-{b.lower().split('-', 1)[0]}", "left": tail, "right": b.lower().split("-", 1)[0], "plain": plain})
-                rows.append((kind, record, sorted(noise), sorted(vocabulary), pairs))
-            cols = list(zip(*rows)) or [[]] * 5
+                digest = hashlib.blake2b("\n".join(lines).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+                rows.append((kind, record, digest, sorted(noise), sorted(vocabulary), pairs))
+            cols = list(zip(*rows)) or [[]] * 6
             split = pa.struct([("joined", pa.string()), ("compound", pa.string()), ("left", pa.string()), ("right", pa.string()), ("plain", pa.bool_())])
-            types = [pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(split)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["record_table", "record_id", "noise", "words", "splits"])
+            types = [pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(split)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["record_table", "record_id", "digest", "noise", "words", "splits"])
 
     return run
 
@@ -347,8 +351,10 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _candidates(grams, params: ScanParams):
-    """Per rare word its variants, and those whose letter groups alone show the misreading."""
+def _candidates(grams, texts: int, params: ScanParams):
+    """Per word its variants, and those whose letter groups alone show the misreading: a word in two texts or in its
+    share of them, with groups that next to no other word has."""
+    few = max(2, int(params.rare_share * texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, n = grams.value
@@ -360,9 +366,10 @@ def _candidates(grams, params: ScanParams):
                 if len(w) < 4 or len(w) > 60:
                     continue
                 own = int(table[_code_grams(w)].min()) if _SMALL.fullmatch(w) else 0
+                own -= max(0, min(count, 5) - 2)  # beyond two, the word's own share of its groups
                 for v in variants(w):
                     usual = _SMALL.fullmatch(v) is not None and int(table[_code_grams(v)].min()) >= params.usual_gram
-                    rows.append((w, count, v, bool(usual and own <= params.rare_gram and count <= 2 and len(w) >= 5)))
+                    rows.append((w, count, v, bool(usual and own <= params.rare_gram and count <= few and len(w) >= 5)))
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, [pa.string(), pa.int64(), pa.string(), pa.bool_()])], ["word", "n", "variant", "by_grams"])
 
@@ -400,9 +407,10 @@ def noise_of(records: DataFrame, params: ScanParams = ScanParams()) -> tuple[Dat
     spark = records.sparkSession
     records = stage(records)
     counts = line_model(records)
-    schema = "record_table string, record_id string, noise array<string>, words array<string>, splits array<struct<joined:string,compound:string,left:string,right:string,plain:boolean>>"
+    schema = "record_table string, record_id string, digest string, noise array<string>, words array<string>, splits array<struct<joined:string,compound:string,left:string,right:string,plain:boolean>>"
     seen = stage(records.mapInArrow(_inspect(spark.sparkContext.broadcast(counts)), schema))
-    vocabulary = stage(seen.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    texts = seen.groupBy("digest").agg(F.min_by("words", F.struct("record_table", "record_id")).alias("words"))  # copies count once
+    vocabulary = stage(texts.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     known = vocabulary.select(F.col("word").alias("k"), "n")
 
     # words split over a line end: the joined form or the compound with its own hyphen, whichever the corpus knows
@@ -419,15 +427,15 @@ def noise_of(records: DataFrame, params: ScanParams = ScanParams()) -> tuple[Dat
     # misread words: far rarer than a word they could be a misreading of, or with letter groups that the corpus lacks
     grams = _gram_counts(vocabulary).collect()  # at most 27^4 groups of four letters
     shared = spark.sparkContext.broadcast((np.array([g[0] for g in grams], np.int64), np.array([g[1] for g in grams], np.int64)))
-    frequent = vocabulary.filter("n >= 200 and length(word) <= 60").orderBy(F.desc("n"), "word").limit(params.frequent_words).select("word")
     joined_words = splits.join(forms.filter("is_split"), ["joined", "compound", "plain"], "left_semi").select("record_table", "record_id", F.col("joined").alias("word"))
     extra = joined_words.select("word").distinct().join(vocabulary, "word", "left_anti").withColumn("n", F.lit(0).cast("bigint"))
-    rare = vocabulary.join(F.broadcast(frequent), "word", "left_anti").unionByName(extra)
-    tried = rare.repartition(F.col("word")).mapInArrow(_candidates(shared, params), "word string, n bigint, variant string, by_grams boolean")
+    tried = vocabulary.unionByName(extra).repartition(F.col("word")).mapInArrow(_candidates(shared, seen.agg(F.countDistinct("digest")).first()[0], params), "word string, n bigint, variant string, by_grams boolean")
     judged = tried.join(known.withColumnsRenamed({"k": "variant", "n": "nv"}), "variant", "left")
     good = F.col("by_grams") | (n("nv") >= params.ratio * F.col("n") + 3)
     wrong = judged.filter(good).groupBy("word").agg(F.max(F.struct(n("nv").alias("nv"), "variant"))["variant"].alias("right"))
     wrong = stage(wrong)
+    # words judged sound aren't shuffled again
+    frequent = vocabulary.join(wrong, "word", "left_anti").filter("n >= 200 and length(word) <= 60").orderBy(F.desc("n"), "word").limit(params.frequent_words).select("word")
     uses = seen.select("record_table", "record_id", F.explode("words").alias("word")).join(F.broadcast(frequent), "word", "left_anti").unionByName(joined_words.select("record_table", "record_id", "word"))
     misread = uses.join(wrong, "word", "left_semi").select("record_table", "record_id", F.lit("misread").alias("noise"))
     direct = seen.select("record_table", "record_id", F.explode("noise").alias("noise"))
