@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stillhouse.operators.corpus import keep_latest, upsert
-from stillhouse.sources.tables import table
+from stillhouse.sources.tables import stage, table
 
 
 def _latest(spark, d):
@@ -130,6 +130,20 @@ def natural_order(spark, d):
     return table(spark, d, "manifest").select("source", "entry_id", n.alias("number")).withColumn("r", F.row_number().over(w)).filter("r <= 20")
 
 
+def natural_order_all(spark, d):
+    """As natural_order, every entry with its rank: rows are sorted over all tasks, and a task's rows are counted before
+    their ranks, so that a large source isn't ranked in one task."""
+    n = F.regexp_extract("raw_sample_id", r"([0-9]{3,})", 1).try_cast("bigint")
+    keys = ["source", F.col("number").asc_nulls_last(), "entry_id"]
+    rows = table(spark, d, "manifest").select("source", "entry_id", n.alias("number"))
+    # stage() reads small files together, so the task's number is written with the rows
+    rows = stage(rows.repartitionByRange(max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys).withColumn("task", F.spark_partition_id()))
+    part = rows.withColumn("k", F.row_number().over(Window.partitionBy("source", "task").orderBy(*keys[1:])))
+    w = Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)  # a row per source and task
+    before = rows.groupBy(F.col("source").alias("s"), F.col("task").alias("t")).agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    return part.join(before, part["source"].eqNullSafe(before["s"]) & (part["task"] == before["t"])).select("source", "entry_id", "number", (F.col("k") + F.col("before")).alias("r"))
+
+
 def neighbour_audit(spark, d):
     """The stored neighbour table per run: rows, doubled pairs, missing distances, gaps in the ranks."""
     n = table(spark, d, "neighbors")
@@ -140,7 +154,7 @@ def neighbour_audit(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (samples_latest, sample_types, catalog_overview, table_counts, observation_latest, late_arrivals, samples_upserted, delete_cascade, orphan_check, metadata_fields, manifest_splits, property_groups, unpivoted_parts, key_value_pivot, natural_order, neighbour_audit)
+    for f in (samples_latest, sample_types, catalog_overview, table_counts, observation_latest, late_arrivals, samples_upserted, delete_cascade, orphan_check, metadata_fields, manifest_splits, property_groups, unpivoted_parts, key_value_pivot, natural_order, natural_order_all, neighbour_audit)
 }
 _TABLES = ["samples", "property_observations", "manifest", "sample_profiles", "documents", "document_chunks"]
 SQL = {
@@ -159,5 +173,6 @@ SQL = {
     "unpivoted_parts": "select p_brand, attribute, count(*) as n, round(avg(value), 4) as mean from (select p_brand, 'size' as attribute, p_size::double as value from part union all select p_brand, 'price', p_retailprice::double from part) group by 1, 2",
     "key_value_pivot": "select o_orderpriority, count(*) filter (where o_orderstatus = 'F') as status_f, count(*) filter (where o_orderstatus = 'O') as status_o, count(*) filter (where o_orderstatus = 'P') as status_p from orders group by 1",
     "natural_order": "select source, entry_id, number, r from (select *, row_number() over (partition by source order by number asc nulls last, entry_id) as r from (select source, entry_id, try_cast(regexp_extract(raw_sample_id, '([0-9]{3,})', 1) as bigint) as number from manifest)) where r <= 20",
+    "natural_order_all": "select source, entry_id, number, row_number() over (partition by source order by number asc nulls last, entry_id) as r from (select source, entry_id, try_cast(regexp_extract(raw_sample_id, '([0-9]{3,})', 1) as bigint) as number from manifest)",
     "neighbour_audit": "with g as (select run_id, query_profile_id, neighbor_profile_id, count(*) as c, count(distance) as known, max(neighbor_rank) as rank from neighbors group by 1, 2, 3), p as (select run_id, query_profile_id, count(*) as pairs, sum((c > 1)::int) as doubled, sum((known = 0)::int) as unknown, max(rank) as top from g group by 1, 2) select run_id, count(*) as queries, sum(pairs)::bigint as pairs, sum(doubled)::bigint as doubled, sum(unknown)::bigint as unknown, sum((top > pairs)::int)::bigint as with_gaps from p group by 1",
 }

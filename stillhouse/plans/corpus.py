@@ -187,6 +187,16 @@ def year_mentions(spark, d):
     return table(spark, d, "documents").filter(y != "").groupBy(y.cast("int").alias("year")).agg(F.count("*").alias("documents"))
 
 
+_YEAR = r"(?:^|[^0-9A-Za-z])(19[0-9]{2}|20[0-9]{2})(?:[^0-9A-Za-z]|$)"
+
+
+def year_mentions_all(spark, d):
+    """Documents per year named anywhere in the text; neighbouring years may share the sign between them."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "([^0-9A-Za-z])", "$1$1")
+    years = F.array_distinct(F.regexp_extract_all(text, F.lit(_YEAR), F.lit(1)))
+    return table(spark, d, "documents").select(F.explode(years.cast("array<int>")).alias("year")).groupBy("year").agg(F.count("*").alias("documents"))
+
+
 def question_signatures(spark, d):
     """Questions that read the same in lower case with single blanks, after the first of them."""
     q = table(spark, d, "qa_benchmark").select("id", F.lower(normalize_text(F.coalesce("question", F.lit("")))).alias("sig"))
@@ -219,7 +229,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_statistics, length_histogram, clean_drop_reasons, drop_reason_counts, quality_buckets, quality_examples, lexicon_tags, rule_labels, excluded_documents,
-        content_hash_duplicates, language_gate, vague_reference_gate, document_keys, document_texts, suffix_counts, year_mentions, question_signatures, eligible_documents, sentence_chunks, paragraph_chunks,
+        content_hash_duplicates, language_gate, vague_reference_gate, document_keys, document_texts, suffix_counts, year_mentions, year_mentions_all, question_signatures, eligible_documents, sentence_chunks, paragraph_chunks,
     )
 }
 _W400 = f"""c as (select doc_id, trim(substr(t, k * 350 + 1, 400)) as text, null::varchar as section from (select doc_id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 400) / 350.0))::int)) as k from (select doc_id, {_n('text')} as t from documents) where t <> '') where trim(substr(t, k * 350 + 1, 400)) <> '')"""
@@ -241,6 +251,7 @@ SQL = {
     "document_texts": f"with {_CH}, g as (select file_name, count(*) as chunks, string_agg({_n('text')}, ' ' order by coalesce(chunk_no, -1), chunk_id) as t from ch where file_name is not null group by 1) select file_name, chunks, length(t) as chars, md5(t) as digest from g",
     "suffix_counts": r"select source, lower(regexp_extract(file_name, '\.([A-Za-z0-9]+)$', 1)) as suffix, count(*) as pages, count(distinct file_name) as files from loaded_documents group by 1, 2",
     "year_mentions": r"select y::int as year, count(*) as documents from (select regexp_extract(coalesce(text, ''), '(?:^|[^0-9A-Za-z])(19[0-9]{2}|20[0-9]{2})(?:[^0-9A-Za-z]|$)', 1) as y from documents) where y <> '' group by 1",
+    "year_mentions_all": r"select y::int as year, count(*) as documents from (select unnest(list_distinct(regexp_extract_all(regexp_replace(coalesce(text, ''), '([^0-9A-Za-z])', '\1\1', 'g'), '(?:^|[^0-9A-Za-z])(19[0-9]{2}|20[0-9]{2})(?:[^0-9A-Za-z]|$)', 1))) as y from documents) group by 1",
     "question_signatures": f"with q as (select id, lower({_n("coalesce(question, '')")}) as sig from qa_benchmark), f as (select sig, min(id) as first_id, count(*) as n from q group by 1) select id, first_id, n from q join f using (sig) where id <> first_id",
     "eligible_documents": f"""with c as (select doc_id, trim(substr(t, k * 700 + 1, 800)) as x from (select doc_id, t, unnest(generate_series(0, greatest(0, ceil((length(t) - 800) / 700.0))::int)) as k from (select doc_id, {_n('text')} as t from documents) where t <> '')) select doc_id, count(*) as chunks, count(*) filter (where length(x) >= 300) as long_chunks from c where x <> '' group by 1 having count(*) filter (where length(x) >= 300) >= 3""",
 }
