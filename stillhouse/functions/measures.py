@@ -112,7 +112,11 @@ def plain_key(x: Column) -> Column:
 
 
 def property_and_unit(name: Column) -> tuple[Column, Column]:
-    """The property that a spelling names, and the key of the unit written behind it ('' for none)."""
+    """The property that a spelling names, and the key of the unit written behind it ('' for none).
+
+    The list of spellings only merges names: one outside it is a property too, named by its letters and digits in
+    small letters. Null for a name without any.
+    """
     alias = {a: p for p, keys in PROPERTY_ALIASES.items() for a in keys}
     units = {u: c for c, keys in UNIT_ALIASES.items() for u in keys}
     longest = "|".join(sorted(alias, key=lambda a: (-len(a), a)))
@@ -120,7 +124,9 @@ def property_and_unit(name: Column) -> tuple[Column, Column]:
     key = plain_key(name)
     whole = literal_map(alias)[key]
     pattern = f"^({longest})(?:in)?({tails})$"
-    base = F.coalesce(whole, literal_map(alias)[F.regexp_extract(key, pattern, 1)])
+    known = F.coalesce(whole, literal_map(alias)[F.regexp_extract(key, pattern, 1)])
+    # an unlisted name is an attribute of its own, under its normalised spelling
+    base = F.coalesce(known, F.nullif(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N}%]", ""), F.lit("")))
     tail = F.when(whole.isNull(), F.regexp_extract(key, pattern, 2)).otherwise("")
     return base, tail
 
@@ -154,7 +160,7 @@ def to_date(text: Column) -> Column:
 def parse_observations(observations):
     """One row per row of ``observations`` with what its value, unit and name say.
 
-    Added columns: ``property`` (canonical name, null if unknown), ``common_unit`` (null for descriptive
+    Added columns: ``property`` (canonical name, or the normalised spelling of an unlisted one; null for a blank name), ``common_unit`` (null for descriptive
     properties), ``value_text`` (the scalar text, null for JSON null, broken JSON and "no value" stand-ins),
     ``number`` (null where the value has none), ``stated_unit`` (from the value, else the unit column, else
     the name; null where none is known). Nulls in any column give nulls; extra columns pass through.

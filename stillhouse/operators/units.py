@@ -1,20 +1,20 @@
 """Bringing one measured quantity, recorded on several scales, to a common unit.
 
-A random forest trained on rows with a stated unit predicts the scale of the others from magnitude, source,
-category and neighbouring fields. Its confidence is calibrated on held-out rows; confident assignments are
-converted, the rest go to review. Where no other unit is stated, an exact check then keeps a change of
-scale only for numbers impossible on the common scale and usual on the predicted one.
+A random forest trained on rows with a stated unit predicts the scale of every row from magnitude, source,
+category and neighbouring fields; where the number would stand in the property's known range on each scale is
+one of its features. Its confidence is calibrated on held-out rows. Confident assignments decide, whether the
+number lies inside or outside that range, for rows with no unit and with the common one; unsure ones keep the
+common unit and go to review, as do rows whose stated other unit the forest contradicts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillhouse.functions.measures import COMMON_UNIT, DIMENSION_OF_UNIT, TO_COMMON, common_value, literal_map, parse_observations
@@ -24,36 +24,72 @@ from stillhouse.sources.tables import stage
 @dataclass(frozen=True)
 class UnitParams:
     """sample_rows bounds the labelled rows that the forest is fitted on (a documented bound: a few
-    thousand rows per property suffice); all rows are scored and all rows give the ranges."""
+    thousand rows per property suffice); all rows are scored and all rows give the ranges. confident: calibrated
+    probability from which a scale is assigned where none or the common one is stated. doubtful: examples of the
+    common unit lie in the property's range widened by this factor, as that unit is sometimes written beside
+    numbers of another scale. buckets: sources, groups and methods are hashed to so many categories,
+    however many there are."""
 
     sample_rows: int = 24_000
     trees: int = 12
     depth: int = 9
-    confident: float = 0.6
-    #: A number is impossible on the common scale beyond the known range widened by the first factor (for temperatures: by
-    #: that share of the span over 1), and usual on another one within the range widened by the second.
-    impossible: float = 1.5
-    usual: float = 1.25
+    confident: float = 0.8
+    doubtful: float = 1.5
+    buckets: int = 24
     seed: int = 11
 
 
 _KINDS = sorted(set(DIMENSION_OF_UNIT.values()))
 _CLASSES = sorted({u for _, u in TO_COMMON})
-_FIELDS = ["property", "source", "property_group", "method"]
+_COMMON_OF = {kind: unit for unit, kind in DIMENSION_OF_UNIT.items()}
+#: The scales of each kind, the common one first.
+_SCALES = {kind: [_COMMON_OF[kind], *sorted(u for k, u in TO_COMMON if k == kind and u != _COMMON_OF[kind])] for kind in _KINDS}
+_SLOTS = max(len(x) for x in _SCALES.values())
+_CATEGORIES = ("source", "property_group", "method")
 
 
-def _scale_features(rows: DataFrame, centre: F.Column, place: F.Column) -> DataFrame:
-    size = F.log10(F.greatest(F.abs("number"), F.lit(1e-9)))
-    kind = literal_map(DIMENSION_OF_UNIT)[F.col("common_unit")]
-    return rows.withColumns({
-        "f_size": size,
-        "f_relative": size - F.coalesce(centre, F.lit(0.0)),
-        "f_place": F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.coalesce(place, F.lit(0.5)))),
-        "f_negative": (F.col("number") < 0).cast("double"),
-        "f_is_text": F.coalesce(F.ltrim("value_json").startswith('"'), F.lit(False)).cast("double"),
-        **{f"f_{k}": F.coalesce(kind == k, F.lit(False)).cast("double") for k in _KINDS},
-        **{c: F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in ("source", "property_group", "method")},
-    })
+def _kind() -> Column:
+    return literal_map(DIMENSION_OF_UNIT)[F.col("common_unit")]
+
+
+def _scale(slot: int) -> Column:
+    """The ``slot``-th scale of the row's kind; null where it has fewer."""
+    return literal_map({k: x[slot] for k, x in _SCALES.items() if slot < len(x)})[_kind()]
+
+
+def _nominal(column: Column, name: str, values: int) -> Column:
+    return column.alias(name, metadata={"ml_attr": {"type": "nominal", "name": name, "vals": [str(i) for i in range(values)]}})
+
+
+def _range(ranges: dict[str, tuple[float, float, float]]) -> tuple[Column, Column, Column, Column]:
+    """Low, middle and high of the row's property, and whether its scale has no natural zero."""
+    given = lambda k: literal_map({p: float(v[k]) for p, v in ranges.items()})[F.col("property")] if ranges else F.lit(None).cast("double")
+    low = given(0)
+    return low, given(1), given(2), (F.col("common_unit") == "degC") | (low <= 0)
+
+
+def _features(rows: DataFrame, ranges: dict[str, tuple[float, float, float]], params: UnitParams) -> DataFrame:
+    """``rows`` with the column ``features``: where the number stands on each scale of its kind (0 and 1 are the ends of
+    the property's range), its magnitude, its form, and the hashed categories."""
+    low, middle, high, additive = _range(ranges)
+    log = lambda x: F.log10(F.greatest(x, F.lit(1e-12)))
+
+    def place(slot: int) -> Column:
+        v = common_value(F.col("number"), _scale(slot), F.col("common_unit"))
+        at = F.when(additive, (v - low) / F.greatest(high - low, F.lit(1e-9))).otherwise((log(v) - log(low)) / F.greatest(log(high) - log(low), F.lit(1e-9)))
+        at = F.greatest(F.lit(-5.0), F.least(F.lit(6.0), at))
+        return F.when(v.isNull(), -9.0).otherwise(F.coalesce(at, F.lit(0.5 if slot == 0 else -9.0)))
+
+    size = log(F.abs("number"))
+    numeric = {
+        **{f"f_place_{j}": place(j) for j in range(_SLOTS)}, "f_size": size, "f_relative": size - F.coalesce(log(F.abs(middle)), F.lit(0.0)),
+        "f_negative": (F.col("number") < 0).cast("double"), "f_is_text": F.coalesce(F.ltrim("value_json").startswith('"'), F.lit(False)).cast("double"),
+    }
+    hashed = [_nominal(F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(c, F.lit(""))))), F.lit(params.buckets)).cast("double"), f"c_{c}", params.buckets) for c in _CATEGORIES]
+    kind = _nominal(literal_map({k: float(i) for i, k in enumerate(_KINDS)})[_kind()], "c_kind", len(_KINDS))
+    wide = rows.select("*", *[x.alias(n) for n, x in numeric.items()], *hashed, kind)
+    names = [*numeric, *[f"c_{c}" for c in _CATEGORIES], "c_kind"]
+    return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
 def physical_ranges(parsed: DataFrame) -> DataFrame:
@@ -68,66 +104,65 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
     """Every numeric observation with its recorded scale and its value in the common unit.
 
     Columns: observation_id, property, number, recorded_unit, confidence, common_unit, common_value, review.
-    ``review`` is true where the forest is less sure than ``params.confident`` of a number that doesn't fit
-    the common scale; such rows keep their stated (or the common) unit. A stated unit other than the common
-    one is believed. Rows with null property, null or "no value" values don't come out; repeated deliveries
-    of one observation come out once (the later ``ingested_at`` wins; on ties the smaller value text).
-    An empty table gives an empty result; without rows in other units nothing is reassigned.
+    The forest's calibrated choice is the recorded scale where it is sure enough; otherwise the stated (or the
+    common) unit stays. ``review`` is true where the forest is unsure of a row without unit, or would rather
+    have another scale than the one that stays. Rows with null property, null or "no value" values don't come out;
+    repeated deliveries of one observation come out once each (one_per_observation picks one). An empty table gives an
+    empty result; without rows in other units nothing is reassigned and nothing reviewed.
     """
     keep = ["observation_id", "property", "number", "common_unit", "stated_unit", "value_json", "source", "property_group", "method", "ingested_at"]
     parsed = stage(parse_observations(observations).filter("common_unit is not null and number is not null").select(*keep))
-    spark = observations.sparkSession
-    ranges = physical_ranges(parsed).collect()  # one row per property of the fixed list
-    by = {r["property"]: (r["low"], r["middle"], r["high"]) for r in ranges}
-    given = lambda k: literal_map({p: float(v[k]) for p, v in by.items()})[F.col("property")] if by else F.lit(None).cast("double")
-    low, high = given(0), given(2)
-    additive = (F.col("common_unit") == "degC") | (low <= 0)
-
-    def fits(x: F.Column, factor: float) -> F.Column:
-        slack = (high - low) * (factor - 1)
-        return F.when(additive, (x >= low - slack) & (x <= high + slack)).otherwise((x >= low / factor) & (x <= high * factor))
-
-    centre = F.log10(F.greatest(F.abs(given(1)), F.lit(1e-9)))
-    # where the number stands on the common scale: 0 and 1 are the ends of the known range, whatever the property
-    logs = [F.log10(F.greatest(x, F.lit(1e-12))) for x in (F.abs("number"), low, high)]
-    place = F.when(additive, (F.col("number") - low) / F.greatest(high - low, F.lit(1e-9))).otherwise((logs[0] - logs[1]) / F.greatest(logs[2] - logs[1], F.lit(1e-9)))
-    rows = parsed.withColumn("on_common", F.coalesce(fits(F.col("number"), params.impossible), F.lit(True)))
-
-    stated = rows.filter("stated_unit is not null and (stated_unit <> common_unit or on_common)")
-    n = parsed.count()
-    if not by or n == 0:
-        scored = rows.withColumns({"guess": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
+    ranges = {r["property"]: (r["low"], r["middle"], r["high"]) for r in physical_ranges(parsed).collect()}  # one row per property of the fixed list
+    base = ["observation_id", "property", "number", "common_unit", "stated_unit", "ingested_at"]
+    # a stated unit of another kind says nothing about the scale
+    stated = F.when(common_value(F.col("number"), F.col("stated_unit"), F.col("common_unit")).isNotNull(), F.col("stated_unit"))
+    low, _, high, additive = _range(ranges)
+    slack, number = (high - low) * (params.doubtful - 1), F.col("number")
+    inside = F.when(additive, number.between(low - slack, high + slack)).otherwise(number.between(low / params.doubtful, high * params.doubtful))
+    use = F.when(stated != F.col("common_unit"), "other").when(stated.isNotNull(), F.when(F.coalesce(inside, F.lit(True)), "common").otherwise("wrong"))
+    rows = parsed.withColumns({"stated_unit": stated, "_use": use})
+    uses = {r["_use"]: r["count"] for r in rows.groupBy("_use").count().collect()}
+    n = uses.get("other", 0) + uses.get("common", 0)
+    if not ranges or n == 0:
+        scored = rows.select(*base).withColumns({"guess": F.lit(None).cast("string"), "confidence": F.lit(None).cast("double")})
     else:
-        share = min(1.0, 1.3 * params.sample_rows / n)
-        sample = stage(_scale_features(stated.filter(F.pmod(F.xxhash64("observation_id"), F.lit(1_000_000)) < int(share * 1_000_000)), centre, place).limit(params.sample_rows).coalesce(2))
-        fit, held = (sample.filter(F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5)) != 0), sample.filter(F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5)) == 0))
-        label = StringIndexer(inputCol="stated_unit", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")
-        index = StringIndexer(inputCols=_FIELDS, outputCols=[f"i_{c}" for c in _FIELDS], handleInvalid="keep")
-        numeric = ["f_place", "f_size", "f_relative", "f_negative", "f_is_text", *[f"f_{k}" for k in _KINDS]]
-        forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=128, featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p")
-        prepare = Pipeline(stages=[index, VectorAssembler(inputCols=numeric + [f"i_{c}" for c in _FIELDS], outputCol="features")]).fit(sample)
-        labels = label.fit(sample)
-        model = forest.fit(prepare.transform(labels.transform(fit)).select("features", "label"))
-        names = F.array(*[F.lit(x) for x in labels.labels], F.lit(None).cast("string"))
-        top = F.array_max(vector_to_array("p"))
-        told = model.transform(prepare.transform(labels.transform(held))).select(F.least(F.floor(top * 20), F.lit(19)).alias("b"), (F.col("prediction") == F.col("label")).cast("double").alias("right"))
-        seen = {int(r["b"]): (r["right"], r["n"]) for r in told.groupBy("b").agg(F.sum("right").alias("right"), F.count("*").alias("n")).collect()}
-        curve = _calibrate(seen)
-        ask = rows.filter("stated_unit is null or stated_unit = common_unit")
-        out = model.transform(prepare.transform(_scale_features(ask, centre, place)))
-        rated = F.array(*[F.lit(x) for x in curve])[F.least(F.floor(top * 20), F.lit(19)).cast("int")]
-        scored = out.select(*rows.columns[:5], "ingested_at", "on_common", names[F.col("prediction").cast("int")].alias("guess"), rated.alias("confidence"))
-        scored = scored.unionByName(rows.filter("stated_unit <> common_unit").select(*rows.columns[:5], "ingested_at", "on_common").withColumns({"guess": F.col("stated_unit"), "confidence": F.lit(1.0)}))
-    told_other = F.coalesce(F.col("stated_unit") != F.col("common_unit"), F.lit(False))
-    usual = F.coalesce(fits(common_value(F.col("number"), F.col("guess"), F.col("common_unit")), params.usual), F.lit(False))
-    moved = ~F.col("on_common") & (F.coalesce(F.col("confidence"), F.lit(0.0)) >= params.confident) & usual & (F.col("guess") != F.col("common_unit"))
-    unit = F.when(told_other, F.col("stated_unit")).when(moved, F.col("guess")).otherwise(F.col("common_unit"))
-    result = scored.select(
+        share = min(1.0, 1.1 * params.sample_rows / n)
+        drawn = rows.filter(F.col("_use").isin("other", "common") & (F.pmod(F.xxhash64("observation_id"), F.lit(1_000_000)) < int(share * 1_000_000))).limit(params.sample_rows)
+        # other scales weigh as often as they stand beside the common unit, not as often as they are named
+        weight = max(uses.get("wrong", 0), 1) / max(uses.get("common", 0), 1) / (uses.get("other", 0) / max(uses.get("common", 0), 1))
+        weigh = F.when(F.col("_use") == "other", min(1.0, weight)).otherwise(1.0).alias("weight")
+        label = literal_map({u: float(i) for i, u in enumerate(_CLASSES)})[F.col("stated_unit")]
+        sample = stage(_features(drawn, ranges, params).select("observation_id", "common_unit", "stated_unit", "features", weigh, _nominal(label, "label", len(_CLASSES))).coalesce(2))
+        fold = F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5))
+        forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=max(64, params.buckets), featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p", weightCol="weight")
+        model = forest.fit(sample.filter(fold != 0).select("features", "label", "weight"))
+        told = _choice(model.transform(sample.filter(fold == 0))).select(_step(F.col("sure")).alias("b"), F.col("weight"), (F.col("guess") == F.col("stated_unit")).cast("double").alias("right"))
+        seen = {int(r["b"]): (r["right"], r["n"]) for r in told.groupBy("b").agg(F.sum(F.col("right") * F.col("weight")).alias("right"), F.sum("weight").alias("n")).collect()}
+        curve = F.array(*[F.lit(x) for x in _calibrate(seen)])
+        scored = _choice(model.transform(_features(rows, ranges, params))).select(*base, "guess", curve[_step(F.col("sure"))].alias("confidence"))
+    assumed = F.coalesce("stated_unit", "common_unit")
+    moved = F.coalesce((assumed == F.col("common_unit")) & (F.col("guess") != assumed) & (F.col("confidence") >= params.confident), F.lit(False))
+    unit = F.when(moved, F.col("guess")).otherwise(assumed)
+    unsure = F.col("stated_unit").isNull() & (F.col("confidence") < params.confident)
+    return scored.select(
         "observation_id", "property", "number", unit.alias("recorded_unit"), "confidence", "common_unit",
         common_value(F.col("number"), unit, F.col("common_unit")).alias("common_value"),
-        (~F.col("on_common") & ~told_other & ~F.coalesce(moved, F.lit(False))).alias("review"), "ingested_at",
+        F.coalesce((F.col("guess") != unit) | unsure, F.lit(False)).alias("review"), "ingested_at",
     )
-    return result
+
+
+def _step(sure: Column) -> Column:
+    return F.least(F.floor(sure * 20), F.lit(19)).cast("int")
+
+
+def _choice(out: DataFrame) -> DataFrame:
+    """``guess``: the likeliest of the scales that the row's kind has; ``sure``: its share of their probabilities."""
+    place = literal_map({u: i for i, u in enumerate(_CLASSES)})
+    each = F.array(*[F.struct(F.coalesce(F.get("_p", F.coalesce(place[_scale(j)], F.lit(-1))), F.lit(-1.0)).alias("p"), F.lit(-j).alias("first"), _scale(j).alias("unit")) for j in range(_SLOTS)])
+    total = F.aggregate("_each", F.lit(0.0), lambda t, x: t + F.greatest(x["p"], F.lit(0.0)))
+    out = out.withColumn("_p", vector_to_array("p")).withColumn("_each", each)
+    out = out.withColumns({"_top": F.array_max("_each"), "_total": total})
+    return out.withColumns({"guess": F.col("_top")["unit"], "sure": F.when(F.col("_total") > 0, F.col("_top")["p"] / F.col("_total")).otherwise(0.0)})
 
 
 def _calibrate(seen: dict[int, tuple[float, int]]) -> list[float]:

@@ -52,8 +52,9 @@ def typed_value(kind: str) -> Column:
     """The column ``value_text`` read as ``kind``; null where it isn't usable."""
     text = F.col("value_text")
     if kind == "number":
-        # without a known scale, the number stands on the common one
-        return F.when(F.col("common_unit").isNull(), F.col("number")).otherwise(F.coalesce(F.col("scaled"), common_value(F.col("number"), F.col("stated_unit"), F.col("common_unit")), F.col("number")))
+        # without a stated scale, the number stands on the common one; a unit of another kind makes it unusable
+        converted = common_value(F.col("number"), F.coalesce("stated_unit", "common_unit"), F.col("common_unit"))
+        return F.when(F.col("common_unit").isNull(), F.col("number")).otherwise(F.coalesce(F.col("scaled"), converted))
     if kind == "integer":
         x = F.col("number")
         return F.when(x % 1 == 0, x.cast("long"))
@@ -67,11 +68,12 @@ def typed_value(kind: str) -> Column:
 def wide_table(observations: DataFrame, samples: DataFrame, attributes: dict[str, str] | None = None, scales: DataFrame | None = None) -> tuple[DataFrame, dict[str, str]]:
     """One row per sample with one typed column per attribute, and the attributes with their types.
 
-    The attribute list and types are discovered first (unless given). Numbers come out in common units: by ``scales``
-    (observation_id once, common_value), else by the stated unit. Of several usable values of a cell the
+    The attribute list and types are discovered first (unless given): every name that occurs, listed or not. Numbers come out in common units: by ``scales``
+    (observation_id once, common_value), else by the stated unit. A number whose unit is of
+    another kind isn't usable. Of several usable values of a cell the
     one with the latest created_at (as UTC) wins, then the larger observation_id; unusable values never win.
     Ids come out as in ``samples``: matched without case, separators and blanks, the smallest spelling where
-    several match, the observation's own trimmed id where none does. Observations without id or known property
+    several match, the observation's own trimmed id where none does. Observations without id or property name
     are left out; a sample without usable values has no row. Empty tables give an empty result.
     """
     cols = ["observation_id", "sample_id", "property", "value_text", "number", "stated_unit", "common_unit", "created_at"]

@@ -22,9 +22,11 @@ def p1_common_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_review_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Per source, property and recorded scale: observations, and those whose scale needs a look."""
     o = table(spark, d, "property_observations")
-    rows = one_per_observation(recorded_scales(o)).groupBy("property", "recorded_unit").agg(F.count("*").alias("n"), F.sum(F.col("review").cast("long")).alias("to_review"))
-    return rows
+    source = o.filter("observation_id is not null").groupBy("observation_id").agg(F.max("source").alias("source"))
+    rows = one_per_observation(recorded_scales(o)).join(source, "observation_id", "left")
+    return rows.groupBy("source", "property", "recorded_unit").agg(F.count("*").alias("n"), F.sum(F.col("review").cast("long")).alias("to_review"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -49,8 +51,8 @@ def _p2_sql() -> str:
     boolean, whole = ", ".join(f"'{x}'" for x in TRUE_TEXTS + FALSE_TEXTS), "'cut_count'"
     measured = ", ".join(f"'{p}'" for p in COMMON_UNIT)
     return rf"""with al as (select * from (values {names}) t(alias, property)),
- o as (select sample_id, regexp_replace(translate(lower(property_name), '³²¹µμ', '321uu'), '[^a-z0-9%]', '', 'g') as k, value_json as v from property_observations),
- p as (select o.sample_id, coalesce(w.property, b.property) as property, trim(case when ltrim(v) like '{{%' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.result'), json_extract_string(v, '$.val')) else json_extract_string(v, '$') end) as t
+ o as (select sample_id, lower(property_name) as raw, regexp_replace(translate(lower(property_name), '³²¹µμ', '321uu'), '[^a-z0-9%]', '', 'g') as k, value_json as v from property_observations),
+ p as (select o.sample_id, coalesce(w.property, b.property, nullif(regexp_replace(o.raw, '[^\p{{L}}\p{{N}}%]', '', 'g'), '')) as property, trim(case when ltrim(v) like '{{%' then coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.result'), json_extract_string(v, '$.val')) else json_extract_string(v, '$') end) as t
  from o left join al w on w.alias = k left join al b on w.alias is null and b.alias = regexp_extract(k, '^({heads})(?:in)?({tails})$', 1)),
  u as (select regexp_replace(lower(sample_id), '[^\p{{L}}\p{{N}}]', '', 'g') as k, property, t from p where property is not null and t is not null and lower(t) not in ({nothing})),
  g as (select distinct k, property from u where case when property in ({measured}) then regexp_matches(t, '[0-9]') when property = 'is_blended' then lower(t) in ({boolean}) when property = {whole} then try_cast(t as double) % 1 = 0 when property = 'sampled_on' then regexp_matches(t, '[0-9]{{4}}') else true end),

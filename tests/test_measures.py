@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillhouse.functions.measures import common_value, parse_observations, to_date, to_number
-from stillhouse.operators.units import recorded_scales
+from stillhouse.operators.units import UnitParams, recorded_scales
 from stillhouse.operators.wide import filled_cells, wide_table
 
 SCHEMA = "observation_id string, sample_id string, property_name string, property_group string, value_json string, unit string, method string, created_at string, source string, ingested_at timestamp"
@@ -32,7 +32,7 @@ def test_values_and_units(spark):
     cases = [
         ("Density @ 20 C", "850.1", "kg/m³", ("density_20c", 850.1, "kg_m-3")), ("sulfur (wt%)", '"0,5"', None, ("sulfur", 0.5, "wt_percent")), ("T50", '"ca. 400.2 degF"', None, ("BP_50", 400.2, "degF")),
         ("kv40", '{"val": 3.1, "uom": "St"}', None, ("viscosity_40c", 3.1, "St")), ("kv40", '"mm2_s-1 1.2874"', None, ("viscosity_40c", 1.2874, "mm2_s-1")), ("Ni", '"<5.2 [ug/kg]"', None, ("nickel", 5.2, "ug_kg-1")),
-        ("Ni", '"n/a"', "ppm", ("nickel", None, "mg_kg-1")), ("Ni", "null", None, ("nickel", None, None)), ("Ni", None, None, ("nickel", None, None)), ("Ni", '{"broken', None, ("nickel", None, None)), (None, "1.0", None, (None, 1.0, None)), ("no such thing", "1.0", "bar", (None, 1.0, "bar")),
+        ("Ni", '"n/a"', "ppm", ("nickel", None, "mg_kg-1")), ("Ni", "null", None, ("nickel", None, None)), ("Ni", None, None, ("nickel", None, None)), ("Ni", '{"broken', None, ("nickel", None, None)), (None, "1.0", None, (None, 1.0, None)), ("no such thing", "1.0", "bar", ("nosuchthing", 1.0, "bar")),
         ("Ni", '"' + "x" * 200_000 + '"', None, ("nickel", None, None)),
     ]
     got = parse_observations(observation(spark, [row(i, n, v, u) for i, (n, v, u, _) in enumerate(cases)])).orderBy(F.expr("cast(substr(observation_id, 2) as int)")).collect()
@@ -94,3 +94,24 @@ def test_wide_table_of_nothing(spark):
     assert wide.count() == 0 and kinds == {} and filled_cells(wide, kinds).count() == 0
     clash = observation(spark, [row(1, "sulfur", "1.0", "wt_percent")]).withColumn("k", F.lit(1)).withColumn("order", F.lit(2)).withColumn("v_number", F.lit(3))
     assert wide_table(clash, spark.createDataFrame([("pf_1",)], "sample_id string"))[0].collect()[0]["sulfur"] == 1.0
+
+
+def test_unlisted_names_are_attributes(spark):
+    """A name outside the list of spellings becomes a column with its own type; its spellings fall together."""
+    rows = [row(1, "Refractive Index", "1.48"), row(2, "refractive_index", "1.50", None, "pf_2"), row(3, "Operator", '"K. Ruslero"'), row(4, "sulfur", "1.0", "bar", "pf_3"), row(5, "  ", "1"), row(6, "sulfur", "2.0", "wt_percent")]
+    wide, kinds = wide_table(observation(spark, rows), spark.createDataFrame([], "sample_id string"))
+    got = {r["sample_id"]: r.asDict() for r in wide.collect()}
+    assert kinds == {"refractiveindex": "number", "operator": "text", "sulfur": "number"}
+    assert got["pf_1"] == {"sample_id": "pf_1", "refractiveindex": 1.48, "operator": "k. ruslero", "sulfur": 2.0} and got["pf_2"]["refractiveindex"] == 1.5
+    assert "pf_3" not in got  # a pressure is no sulfur content
+
+
+def test_forest_decides(spark):
+    """Scales beside no or the common unit come from the forest alone, whatever the number of sources: without
+    confident assignments none is moved."""
+    o = spark.read.parquet("/root/testdata/sf0.001/property_observations.parquet")
+    many = o.withColumn("source", F.concat(F.lit("lab "), F.pmod(F.xxhash64("observation_id"), F.lit(1000)).cast("string")))
+    told = parse_observations(many).filter("stated_unit <> common_unit").select("observation_id").distinct()
+    moved = lambda p: recorded_scales(many, p).filter("recorded_unit <> common_unit").select("observation_id").distinct().join(told, "observation_id", "left_anti").count()
+    assert moved(UnitParams()) > 10 and moved(UnitParams(confident=1.1)) == 0
+    assert recorded_scales(many, UnitParams(confident=1.1)).filter("review").count() > 10
