@@ -9,15 +9,16 @@ common unit and go to review, as do rows whose stated other unit the forest cont
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillhouse.functions.measures import COMMON_UNIT, DIMENSION_OF_UNIT, TO_COMMON, common_value, literal_map, parse_observations
+from stillhouse.functions.measures import COMMON_UNIT, DIMENSION_OF_UNIT, TO_COMMON, common_value, parse_observations
 from stillhouse.sources.tables import stage
 
 
@@ -48,47 +49,55 @@ _SLOTS = max(len(x) for x in _SCALES.values())
 _CATEGORIES = ("source", "property_group", "method")
 
 
-def _kind() -> Column:
-    return literal_map(DIMENSION_OF_UNIT)[F.col("common_unit")]
-
-
-def _scale(slot: int) -> Column:
-    """The ``slot``-th scale of the row's kind; null where it has fewer."""
-    return literal_map({k: x[slot] for k, x in _SCALES.items() if slot < len(x)})[_kind()]
+def _constants(spark: SparkSession, ranges: dict[str, tuple[float, float, float]]) -> DataFrame:
+    """One row per property of the fixed list (so its size is bounded): its known range, and per scale of its kind the unit (u),
+    its class (c) and how a number becomes the common unit (f, o)."""
+    log = lambda x: math.log10(max(abs(x), 1e-12))
+    rows = []
+    for name, common in COMMON_UNIT.items():
+        kind = DIMENSION_OF_UNIT[common]
+        low, middle, high = ranges.get(name, (None, None, None))
+        known = low is not None
+        row = [name, float(_KINDS.index(kind)), low, high, known and (common == "degC" or low <= 0), log(low) if known else None, max(log(high) - log(low), 1e-9) if known else None, log(middle) if known else 0.0]
+        for j in range(_SLOTS):
+            unit = _SCALES[kind][j] if j < len(_SCALES[kind]) else None
+            row += [unit, _CLASSES.index(unit) if unit else None, *(TO_COMMON[kind, unit] if unit else (None, None))]
+        rows.append(tuple(row))
+    per = ", ".join(f"u{j} string, c{j} int, f{j} double, o{j} double" for j in range(_SLOTS))
+    return spark.createDataFrame(rows, f"property string, c_kind double, low double, high double, additive boolean, log_low double, log_span double, log_middle double, {per}")
+
+
+def _by_unit(unit: Column, what: str) -> Column:
+    """The constant ``what`` of the scale ``unit`` among those of the row's kind; null for a unit of another kind."""
+    out = F.when(unit == F.col("u0"), F.col(f"{what}0"))
+    for j in range(1, _SLOTS):
+        out = out.when(unit == F.col(f"u{j}"), F.col(f"{what}{j}"))
+    return out
 
 
 def _nominal(column: Column, name: str, values: int) -> Column:
     return column.alias(name, metadata={"ml_attr": {"type": "nominal", "name": name, "vals": [str(i) for i in range(values)]}})
 
 
-def _range(ranges: dict[str, tuple[float, float, float]]) -> tuple[Column, Column, Column, Column]:
-    """Low, middle and high of the row's property, and whether its scale has no natural zero."""
-    given = lambda k: literal_map({p: float(v[k]) for p, v in ranges.items()})[F.col("property")] if ranges else F.lit(None).cast("double")
-    low = given(0)
-    return low, given(1), given(2), (F.col("common_unit") == "degC") | (low <= 0)
-
-
-def _features(rows: DataFrame, ranges: dict[str, tuple[float, float, float]], params: UnitParams) -> DataFrame:
-    """``rows`` with the column ``features``: where the number stands on each scale of its kind (0 and 1 are the ends of
-    the property's range), its magnitude, its form, and the hashed categories."""
-    low, middle, high, additive = _range(ranges)
+def _features(rows: DataFrame, params: UnitParams) -> DataFrame:
+    """``rows`` (with the constants) and the column ``features``: where the number stands on each scale of its kind (0 and 1 are
+    the ends of the property's range), its magnitude, its form, and the hashed categories."""
     log = lambda x: F.log10(F.greatest(x, F.lit(1e-12)))
 
-    def place(slot: int) -> Column:
-        v = common_value(F.col("number"), _scale(slot), F.col("common_unit"))
-        at = F.when(additive, (v - low) / F.greatest(high - low, F.lit(1e-9))).otherwise((log(v) - log(low)) / F.greatest(log(high) - log(low), F.lit(1e-9)))
+    def place(j: int) -> Column:
+        v = F.col("number") * F.col(f"f{j}") + F.col(f"o{j}")
+        at = F.when(F.col("additive"), (v - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-9))).otherwise((log(v) - F.col("log_low")) / F.col("log_span"))
         at = F.greatest(F.lit(-5.0), F.least(F.lit(6.0), at))
-        return F.when(v.isNull(), -9.0).otherwise(F.coalesce(at, F.lit(0.5 if slot == 0 else -9.0)))
+        return F.when(v.isNull(), -9.0).otherwise(F.coalesce(at, F.lit(0.5 if j == 0 else -9.0)))
 
     size = log(F.abs("number"))
     numeric = {
-        **{f"f_place_{j}": place(j) for j in range(_SLOTS)}, "f_size": size, "f_relative": size - F.coalesce(log(F.abs(middle)), F.lit(0.0)),
+        **{f"f_place_{j}": place(j) for j in range(_SLOTS)}, "f_size": size, "f_relative": size - F.col("log_middle"),
         "f_negative": (F.col("number") < 0).cast("double"), "f_is_text": F.coalesce(F.ltrim("value_json").startswith('"'), F.lit(False)).cast("double"),
     }
-    hashed = [_nominal(F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(c, F.lit(""))))), F.lit(params.buckets)).cast("double"), f"c_{c}", params.buckets) for c in _CATEGORIES]
-    kind = _nominal(literal_map({k: float(i) for i, k in enumerate(_KINDS)})[_kind()], "c_kind", len(_KINDS))
-    wide = rows.select("*", *[x.alias(n) for n, x in numeric.items()], *hashed, kind)
-    names = [*numeric, *[f"c_{c}" for c in _CATEGORIES], "c_kind"]
+    hashed = [_nominal(F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(c, F.lit(""))))), F.lit(params.buckets)).cast("double"), f"h_{c}", params.buckets) for c in _CATEGORIES]
+    wide = rows.select("*", *[x.alias(n) for n, x in numeric.items()], *hashed, _nominal(F.col("c_kind"), "h_kind", len(_KINDS)))
+    names = [*numeric, *[f"h_{c}" for c in _CATEGORIES], "h_kind"]
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
@@ -100,27 +109,30 @@ def physical_ranges(parsed: DataFrame) -> DataFrame:
     return known.filter("v is not null").groupBy("property").agg(F.percentile_approx("v", [0.0005, 0.5, 0.9995], 20_000).alias("q")).select("property", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
 
 
-def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams()) -> DataFrame:
+def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams(), stated_too: bool = True) -> DataFrame:
     """Every numeric observation with its recorded scale and its value in the common unit.
 
     Columns: observation_id, property, number, recorded_unit, confidence, common_unit, common_value, review.
     The forest's calibrated choice is the recorded scale where it is sure enough; otherwise the stated (or the
     common) unit stays. ``review`` is true where the forest is unsure of a row without unit, or would rather
-    have another scale than the one that stays. Rows with null property, null or "no value" values don't come out;
+    have another scale than the one that stays. With ``stated_too`` false the forest isn't asked about rows that state
+    another unit: their scale is the same, but none of them is sent to review. Rows with null property, null or "no value" values don't come out;
     repeated deliveries of one observation come out once each (one_per_observation picks one). An empty table gives an
     empty result; without rows in other units nothing is reassigned and nothing reviewed.
     """
     keep = ["observation_id", "property", "number", "common_unit", "stated_unit", "value_json", "source", "property_group", "method", "ingested_at"]
     parsed = stage(parse_observations(observations).filter("common_unit is not null and number is not null").select(*keep))
     ranges = {r["property"]: (r["low"], r["middle"], r["high"]) for r in physical_ranges(parsed).collect()}  # one row per property of the fixed list
-    base = ["observation_id", "property", "number", "common_unit", "stated_unit", "ingested_at"]
+    constants = F.broadcast(_constants(observations.sparkSession, ranges))
+    per_scale = [f"{x}{j}" for j in range(_SLOTS) for x in "ufo"]
+    base = ["observation_id", "property", "number", "common_unit", "stated_unit", "ingested_at", *per_scale]
     # a stated unit of another kind says nothing about the scale
-    stated = F.when(common_value(F.col("number"), F.col("stated_unit"), F.col("common_unit")).isNotNull(), F.col("stated_unit"))
-    low, _, high, additive = _range(ranges)
-    slack, number = (high - low) * (params.doubtful - 1), F.col("number")
-    inside = F.when(additive, number.between(low - slack, high + slack)).otherwise(number.between(low / params.doubtful, high * params.doubtful))
-    use = F.when(stated != F.col("common_unit"), "other").when(stated.isNotNull(), F.when(F.coalesce(inside, F.lit(True)), "common").otherwise("wrong"))
-    rows = parsed.withColumns({"stated_unit": stated, "_use": use})
+    stated = F.when(_by_unit(F.col("stated_unit"), "f").isNotNull(), F.col("stated_unit"))
+    wide, number = F.lit(params.doubtful), F.col("number")
+    slack = (F.col("high") - F.col("low")) * (wide - 1)
+    inside = F.when(F.col("additive"), number.between(F.col("low") - slack, F.col("high") + slack)).otherwise(number.between(F.col("low") / wide, F.col("high") * wide))
+    use = F.when(F.col("stated_unit") != F.col("common_unit"), "other").when(F.col("stated_unit").isNotNull(), F.when(F.coalesce(inside, F.lit(True)), "common").otherwise("wrong"))
+    rows = parsed.join(constants, "property").withColumn("stated_unit", stated).withColumn("_use", use)
     uses = {r["_use"]: r["count"] for r in rows.groupBy("_use").count().collect()}
     n = uses.get("other", 0) + uses.get("common", 0)
     if not ranges or n == 0:
@@ -131,22 +143,26 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams())
         # other scales weigh as often as they stand beside the common unit, not as often as they are named
         weight = max(uses.get("wrong", 0), 1) / max(uses.get("common", 0), 1) / (uses.get("other", 0) / max(uses.get("common", 0), 1))
         weigh = F.when(F.col("_use") == "other", min(1.0, weight)).otherwise(1.0).alias("weight")
-        label = literal_map({u: float(i) for i, u in enumerate(_CLASSES)})[F.col("stated_unit")]
-        sample = stage(_features(drawn, ranges, params).select("observation_id", "common_unit", "stated_unit", "features", weigh, _nominal(label, "label", len(_CLASSES))).coalesce(2))
+        label = _by_unit(F.col("stated_unit"), "c").cast("double")
+        classes = [f"{x}{j}" for j in range(_SLOTS) for x in "uc"]
+        sample = stage(_features(drawn, params).select("observation_id", "stated_unit", "features", *classes, weigh, _nominal(label, "label", len(_CLASSES))).coalesce(2))
         fold = F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5))
         forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=max(64, params.buckets), featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p", weightCol="weight")
         model = forest.fit(sample.filter(fold != 0).select("features", "label", "weight"))
         told = _choice(model.transform(sample.filter(fold == 0))).select(_step(F.col("sure")).alias("b"), F.col("weight"), (F.col("guess") == F.col("stated_unit")).cast("double").alias("right"))
         seen = {int(r["b"]): (r["right"], r["n"]) for r in told.groupBy("b").agg(F.sum(F.col("right") * F.col("weight")).alias("right"), F.sum("weight").alias("n")).collect()}
         curve = F.array(*[F.lit(x) for x in _calibrate(seen)])
-        scored = _choice(model.transform(_features(rows, ranges, params))).select(*base, "guess", curve[_step(F.col("sure"))].alias("confidence"))
+        asked = rows if stated_too else rows.filter("stated_unit is null or stated_unit = common_unit")
+        scored = _choice(model.transform(_features(asked, params))).select(*base, "guess", curve[_step(F.col("sure"))].alias("confidence"))
+        if not stated_too:
+            scored = scored.unionByName(rows.filter("stated_unit <> common_unit").select(*base).withColumns({"guess": F.col("stated_unit"), "confidence": F.lit(None).cast("double")}))
     assumed = F.coalesce("stated_unit", "common_unit")
     moved = F.coalesce((assumed == F.col("common_unit")) & (F.col("guess") != assumed) & (F.col("confidence") >= params.confident), F.lit(False))
     unit = F.when(moved, F.col("guess")).otherwise(assumed)
     unsure = F.col("stated_unit").isNull() & (F.col("confidence") < params.confident)
     return scored.select(
         "observation_id", "property", "number", unit.alias("recorded_unit"), "confidence", "common_unit",
-        common_value(F.col("number"), unit, F.col("common_unit")).alias("common_value"),
+        (F.col("number") * _by_unit(unit, "f") + _by_unit(unit, "o")).alias("common_value"),
         F.coalesce((F.col("guess") != unit) | unsure, F.lit(False)).alias("review"), "ingested_at",
     )
 
@@ -157,12 +173,13 @@ def _step(sure: Column) -> Column:
 
 def _choice(out: DataFrame) -> DataFrame:
     """``guess``: the likeliest of the scales that the row's kind has; ``sure``: its share of their probabilities."""
-    place = literal_map({u: i for i, u in enumerate(_CLASSES)})
-    each = F.array(*[F.struct(F.coalesce(F.get("_p", F.coalesce(place[_scale(j)], F.lit(-1))), F.lit(-1.0)).alias("p"), F.lit(-j).alias("first"), _scale(j).alias("unit")) for j in range(_SLOTS)])
-    total = F.aggregate("_each", F.lit(0.0), lambda t, x: t + F.greatest(x["p"], F.lit(0.0)))
-    out = out.withColumn("_p", vector_to_array("p")).withColumn("_each", each)
-    out = out.withColumns({"_top": F.array_max("_each"), "_total": total})
-    return out.withColumns({"guess": F.col("_top")["unit"], "sure": F.when(F.col("_total") > 0, F.col("_top")["p"] / F.col("_total")).otherwise(0.0)})
+    each = {f"_p{j}": F.coalesce(F.get("_p", F.coalesce(f"c{j}", F.lit(-1))), F.lit(0.0)) for j in range(_SLOTS)}
+    out = out.withColumn("_p", vector_to_array("p")).withColumns(each)
+    out = out.withColumns({"_top": F.greatest(*each), "_total": sum((F.col(c) for c in each), F.lit(0.0))})
+    guess = F.when(F.col("_p0") == F.col("_top"), F.col("u0"))
+    for j in range(1, _SLOTS):
+        guess = guess.when(F.col(f"_p{j}") == F.col("_top"), F.col(f"u{j}"))
+    return out.withColumns({"guess": guess, "sure": F.when(F.col("_total") > 0, F.col("_top") / F.col("_total")).otherwise(0.0)})
 
 
 def _calibrate(seen: dict[int, tuple[float, int]]) -> list[float]:

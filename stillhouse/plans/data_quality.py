@@ -12,7 +12,7 @@ from stillhouse.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = recorded_scales(table(spark, d, "property_observations")).filter("recorded_unit <> common_unit")
+    rows = recorded_scales(table(spark, d, "property_observations"), stated_too=False).filter("recorded_unit <> common_unit")
     return rows.groupBy("observation_id").agg(F.min("recorded_unit").alias("recorded_unit"))
 
 
