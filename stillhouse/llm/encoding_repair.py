@@ -27,7 +27,8 @@ ONE_BYTE = [
     ("cp1252", "gb18030"), ("latin-1", "gb18030"), ("cp1251", "gb18030"), ("cp1252", "big5"),
 ]
 
-_NON_ASCII = re.compile(r"[^\x00-\x7f]+")
+#: What a wrong table can have shown: characters beyond ASCII, without Chinese ones, which none of the tables has.
+_NON_ASCII = re.compile(r"[^\x00-\x7f\u3000-\u303f\u3400-\u4dbf\u4e00-\u9fff]+")
 _LOST = re.compile("[�\x80-\x9f]")
 
 
@@ -110,6 +111,11 @@ class _Model:
         information = share * np.log2(np.maximum(share / ((first[pairs // k] / total) * (second[pairs % k] / total)), 1 + 1e-9)) * 1e6
         self.improbable = np.full(k * k, 6, dtype=np.int8)
         self.improbable[pairs] = np.clip(np.rint(np.log2(params.least_information / np.maximum(information, 1e-3))), -4, 6).astype(np.int8)
+        # no sound text has replacement and stray control characters, however usual they are in the corpus
+        lost = np.unique(self.table[[0xFFFD, *range(0x80, 0xA0)]])
+        square = self.improbable.reshape(k, k)
+        square[lost, :] = 6
+        square[:, lost] = 6
         ascii_pairs = (np.arange(k)[:, None] < 128) & (np.arange(k)[None, :] < 128)
         self.improbable[np.flatnonzero(ascii_pairs.ravel())] = np.minimum(self.improbable[np.flatnonzero(ascii_pairs.ravel())], -1)
         back = 0.5 * (second + 0.05) / (total + 0.05 * k)
@@ -279,7 +285,8 @@ def repaired(documents: DataFrame, params: RepairParams = RepairParams(), change
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 new, kinds = (text, []) if not text or text.isascii() else repair_text(text, model, params, mapped, known)
-                lost = bool(new and not new.isascii() and _LOST.search(new))
+                # what stays lost stands in the segments of the text as it came out
+                lost = bool(new and not new.isascii() and any(_LOST.search(new, s, e) for s, e in model.runs(new)))
                 if kinds or lost or not changed_only:
                     rows.append((doc, bool(kinds) or lost, bool(kinds), lost, kinds, new))
             cols = list(zip(*rows)) or [[]] * 6

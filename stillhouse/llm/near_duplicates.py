@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +50,15 @@ def _fingerprints(params: NearParams, kind: str):
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, ends = word_ids(part.column("text").to_pylist(), cache)
-                keep, sets, prints, whole = [], [], [], []
+                keep, sets, prints, whole, short = [], [], [], [], []
+                parts = part.column("part").to_pylist()
                 for i in range(part.num_rows):
-                    s = np.unique(shingles(ids[ends[i] : ends[i + 1]], params.width))
-                    if not len(s):
-                        continue
+                    words = ids[ends[i] : ends[i + 1]]
+                    s = np.unique(shingles(words, params.width))
+                    short.append(not len(s))
+                    if not len(s):  # too short for a shingle: alike only as a whole
+                        s = mix(shingles(words, len(words)) + np.uint64(len(words))) if len(words) else np.zeros(1, dtype=np.uint64)
+                    own = np.uint64(xxhash.xxh3_64_intdigest(parts[i] or ""))
                     low = np.full(symbols, np.iinfo(np.uint64).max, dtype=np.uint64)
                     for k in range(0, len(s), 1024):  # a very long text in slices
                         x = s[k : k + 1024, None] * mult[None, :]
@@ -63,13 +68,13 @@ def _fingerprints(params: NearParams, kind: str):
                         low = np.minimum(low, x.min(axis=0))
                     keep.append(i)
                     sets.append(s.view(np.int64))
-                    prints.append(mix(low).view(np.int64).astype(np.int32))
-                    whole.append(f"{int(np.bitwise_xor.reduce(mix(s))):016x}{int(np.add.reduce(mix(s ^ np.uint64(7)))):016x}{len(s)}")
+                    prints.append(mix(low ^ own).view(np.int64).astype(np.int32))
+                    whole.append(f"{parts[i] or ''}:{short[-1]:d}:{int(np.bitwise_xor.reduce(mix(s))):016x}{int(np.add.reduce(mix(s ^ np.uint64(7)))):016x}{len(s)}")
                 if keep:
                     lists = lambda xs, t: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), t))
-                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(keep)), pa.array(whole), lists(sets, pa.int64()), lists(prints, pa.int32())], ["id", "same", "shingles", "print"])
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(keep)), pa.array(whole), lists(sets, pa.int64()), lists(prints, pa.int32()), pa.array(short)], ["id", "same", "shingles", "print", "short"])
 
-    return run, f"id {kind}, same string, shingles array<bigint>, print array<int>"
+    return run, f"id {kind}, same string, shingles array<bigint>, print array<int>, short boolean"
 
 
 def _segment_keys(params: NearParams):
@@ -101,20 +106,22 @@ def _segment_keys(params: NearParams):
 def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the membership of copies.
 
-    ``texts`` has columns id and text. Returns (links: a, b, similarity with a < b, ids of representatives) and
-    (members: id, representative). Texts with the same set of shingles share a representative, their smallest
-    id. Null, empty and texts shorter than a shingle have no links and no representative. An id that stands
+    ``texts`` has columns id and text, and part where only texts of one part are to be compared. Returns (links: a, b,
+    similarity with a < b, ids of representatives) and (members: id, representative, short). Texts of a part with
+    the same set of shingles share a representative, their smallest id. Texts shorter than a shingle (null and empty
+    ones too) are ``short``: they share a representative if their words are the same, and have no links. An id that stands
     there several times with one text counts once. No partner or candidate is dropped.
     """
     if params.segments > 63:
         raise ValueError("at most 63 segments")
     run, schema = _fingerprints(params, dict(texts.dtypes)["id"])
-    marked = stage(texts.select("id", "text").filter("id is not null").mapInArrow(run, schema).withColumn("no", F.monotonically_increasing_id()))
+    own = texts if "part" in texts.columns else texts.withColumn("part", F.lit(None).cast("string"))
+    marked = stage(own.select("id", "text", "part").filter("id is not null").mapInArrow(run, schema).withColumn("no", F.monotonically_increasing_id()))
     first = marked.groupBy("same").agg(F.min(F.struct("id", "no")).alias("x"))
-    members = stage(marked.select("same", "id").distinct().join(first, "same").select("id", F.col("x.id").alias("representative")))
+    members = stage(marked.select("same", "id", "short").distinct().join(first, "same").select("id", F.col("x.id").alias("representative"), "short"))
     # one row per set of shingles: the others are taken away by their numbers, so that the wide rows stay where they are
     others = stage(marked.select("same", "no").join(first, "same").filter("no <> x.no").select("no"))  # few unless copies abound: then its size is known to the planner
-    one = marked.join(others, "no", "left_anti").select("no", F.col("id").alias("rep"), "shingles", "print")
+    one = marked.filter("not short").join(others, "no", "left_anti").select("no", F.col("id").alias("rep"), "shingles", "print")
     keys = one.select("no", "print").mapInArrow(_segment_keys(params), "no bigint, segment int, key bigint")
     left, right = keys.select(F.col("no").alias("na"), "key", "segment"), keys.select(F.col("no").alias("nb"), "key", F.col("segment").alias("s2"))  # alike on both sides: one shuffle serves both
     kept = F.bit_count(F.expr("bit_or(shiftleft(1L, segment))"))
@@ -135,9 +142,10 @@ def near_links(texts: DataFrame, params: NearParams = NearParams()) -> tuple[Dat
 
 
 def near_pairs(texts: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """All pairs (id_a < id_b) of different ids at or above the similarity, copies included."""
+    """All pairs (id_a < id_b) of different ids at or above the similarity, copies included. Texts without a shingle have no
+    similarity and stand in no pair."""
     links, members = near_links(texts, params)
-    who = members.select(F.col("representative").alias("r"), "id")
+    who = members.filter("not short").select(F.col("representative").alias("r"), "id")
     across = links.join(who.select(F.col("r").alias("a"), F.col("id").alias("x")), "a").join(who.select(F.col("r").alias("b"), F.col("id").alias("y")), "b")
     copies = who.withColumnRenamed("id", "x").join(who.withColumnRenamed("id", "y"), "r").filter("x < y")
     both = across.select("x", "y").unionByName(copies.select("x", "y")).filter("x <> y")
@@ -145,7 +153,7 @@ def near_pairs(texts: DataFrame, params: NearParams = NearParams()) -> DataFrame
 
 
 def near_groups(texts: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """One row per id with a shingle: id, group_id (smallest member of its linked group), copies_of, links.
+    """One row per id: id, group_id (smallest member of its linked group), copies_of, links.
 
     ``links`` counts the linked different texts; ``copies_of`` is the representative of its exact copies."""
     links, members = near_links(texts, params)

@@ -2,7 +2,8 @@
 
 Items are dealt at random into groups of bounded size, one task each. A group starts from the best-fit
 decreasing solution; bin completion then takes the largest item, enumerates the undominated fillings around it
-and searches depth-first, pruned by the waste bound, while a better number of containers is possible. Sparsely
+and searches in order of discrepancy from the fullest ones, at every depth alike and pruned by the waste bound, while a
+better number of containers is possible. Sparsely
 filled containers of all groups are opened again and packed together in further rounds.
 """
 
@@ -23,13 +24,16 @@ from stillhouse.sources.tables import stage
 
 @dataclass(frozen=True)
 class PackParams:
-    """nodes bounds the search of a group, which keeps its incumbent beyond; group_items is the size aimed at.
+    """nodes bounds the search of a group, which keeps its incumbent beyond; group_items is the size aimed at. fillings bounds the
+    undominated fillings kept around one item, from at most four times as many maximal ones found in steps times as
+    many steps. A search that ends within all of these is exact; the result is whole either way.
     Containers filled below ``open_below`` are opened for another round, ``rounds`` times at most."""
 
     capacity: int = 2_048
     group_items: int = 4_000
     nodes: int = 3_000
     fillings: int = 40
+    steps: int = 60
     open_below: float = 0.97
     rounds: int = 2
     tokenizer: str = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -78,7 +82,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(largest: int, rest: list[int], capacity: int, most: int) -> list[list[int]]:
+def _fillings(largest: int, rest: list[int], capacity: int, most: int, most_steps: int = 60) -> list[list[int]]:
     """Undominated sets of sizes from ``rest`` (descending) that fit beside ``largest``: maximal ones, fullest first."""
     room, out, seen = capacity - largest, [], set()
     steps = 0
@@ -86,7 +90,7 @@ def _fillings(largest: int, rest: list[int], capacity: int, most: int) -> list[l
     def extend(start: int, left: int, chosen: list[int]) -> None:
         nonlocal steps
         steps += 1
-        if steps > 60 * most or len(out) >= 4 * most:
+        if steps > most_steps * most or len(out) >= 4 * most:
             return
         grew, last = False, None
         at = bisect.bisect_left(rest, -left, key=lambda x: -x) if start == 0 else max(start, bisect.bisect_left(rest, -left, key=lambda x: -x))
@@ -117,36 +121,50 @@ def _fillings(largest: int, rest: list[int], capacity: int, most: int) -> list[l
     return kept
 
 
-def complete_bins(sizes: list[int], capacity: int, nodes: int, most: int) -> list[list[int]]:
-    """Bins of sizes. Best fit first; while more bins than the waste bound allows, bin completion within ``nodes``."""
+def complete_bins(sizes: list[int], capacity: int, nodes: int, most: int, steps: int = 60) -> list[list[int]]:
+    """Bins of sizes. Best fit first; while more bins than the waste bound allows, bin completion within ``nodes``: first the
+    fullest fillings, then with one other choice anywhere, with two, four and so on."""
     sizes = sorted(sizes, reverse=True)
     incumbent = [[sizes[i] for i in b] for b in best_fit(sizes, capacity)]
-    bound = -(-sum(sizes) // capacity)
-    left_nodes = nodes
-
-    def search(rest: list[int], done: list[list[int]], waste: int) -> bool:
-        nonlocal incumbent, left_nodes
-        while True:
-            if not rest:
-                if len(done) < len(incumbent):
-                    incumbent = [list(b) for b in done]
-                return len(incumbent) <= bound
-            if len(done) + -(-sum(rest) // capacity) >= len(incumbent) or waste > len(incumbent) * capacity - capacity - sum(sizes):
-                return False
+    total = sum(sizes)
+    bound = -(-total // capacity)
+    left_nodes, skipped = nodes, False
+
+    def search(rest: list[int], done: list[list[int]], waste: int, others: int) -> bool:
+        """True when nothing is left to search for."""
+        nonlocal incumbent, left_nodes, skipped
+        path = []
+        while rest:
+            if len(done) + -(-sum(rest) // capacity) >= len(incumbent) or waste > (len(incumbent) - 1) * capacity - total:
+                break
             left_nodes -= 1
             if left_nodes <= 0:
                 return True
-            options = _fillings(rest[0], rest[1:], capacity, most)
-            for c in options[1:3] if len(rest) < 60 else []:
-                if search(_without(rest, [rest[0], *c]), [*done, [rest[0], *c]], waste + capacity - rest[0] - sum(c)):
+            options = _fillings(rest[0], rest[1:], capacity, most, steps)
+            path.append((rest, done, waste, options))
+            done, waste, rest = _filled(rest, done, waste, options[0])
+        else:
+            if len(done) < len(incumbent):
+                incumbent = [list(b) for b in done]
+            if len(incumbent) <= bound:
+                return True
+        for rest, done, waste, options in reversed(path):
+            skipped = skipped or len(options) - 1 > others
+            for j in range(1, min(others, len(options) - 1) + 1):
+                then_done, then_waste, then_rest = _filled(rest, done, waste, options[j])
+                if search(then_rest, then_done, then_waste, others - j):
                     return True
-            c = options[0]
-            waste += capacity - rest[0] - sum(c)
-            done = [*done, [rest[0], *c]]
-            rest = _without(rest, done[-1])
+        return False
+
+    def _filled(rest: list[int], done: list[list[int]], waste: int, filling: list[int]) -> tuple[list[list[int]], int, list[int]]:
+        bin_ = [rest[0], *filling]
+        return [*done, bin_], waste + capacity - sum(bin_), _without(rest, bin_)
 
     if len(incumbent) > bound:
-        search(sizes, [], 0)
+        for others in (0, 1, 2, 4, 8, 16, 32, 64, 128):
+            skipped = False
+            if search(sizes, [], 0, others) or not skipped:
+                break
     return incumbent
 
 
@@ -166,7 +184,7 @@ def _pack_round(items: DataFrame, no: int, params: PackParams) -> DataFrame:
         by_size: dict[int, list[int]] = {}
         for i in range(len(rows) - 1, -1, -1):
             by_size.setdefault(int(rows["tokens"].iat[i]), []).append(i)
-        bins = complete_bins(rows["tokens"].astype(int).tolist(), params.capacity, params.nodes, params.fillings)
+        bins = complete_bins(rows["tokens"].astype(int).tolist(), params.capacity, params.nodes, params.fillings, params.steps)
         where, filled = [0] * len(rows), [0] * len(rows)
         for b, sizes in enumerate(bins):
             total = sum(sizes)

@@ -14,8 +14,8 @@ _NEAR = near_duplicates.NearParams(width=3, similarity=0.45)
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     """Chunks and questions in one table, their kind in front of the id."""
-    chunks = table(spark, d, "document_chunks").select(F.concat(F.lit("chunk:"), "chunk_id").alias("id"), "text")
-    return chunks.unionByName(table(spark, d, "qa_benchmark").select(F.concat(F.lit("question:"), "id").alias("id"), F.col("question").alias("text")))
+    chunks = table(spark, d, "document_chunks").select(F.concat(F.lit("chunk:"), "chunk_id").alias("id"), "text", F.lit("chunk").alias("part"))
+    return chunks.unionByName(table(spark, d, "qa_benchmark").select(F.concat(F.lit("question:"), "id").alias("id"), F.col("question").alias("text"), F.lit("question").alias("part")))
 
 
 def _kind_and_id(c: str) -> list:
@@ -24,8 +24,8 @@ def _kind_and_id(c: str) -> list:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near_duplicates.near_pairs(_records(spark, d), _NEAR)
-    (ka, a), (kb, b) = _kind_and_id("id_a"), _kind_and_id("id_b")
-    return pairs.filter(ka == kb).select(ka.alias("record_kind"), a.alias("id_a"), b.alias("id_b"))
+    (ka, a), (_, b) = _kind_and_id("id_a"), _kind_and_id("id_b")
+    return pairs.select(ka.alias("record_kind"), a.alias("id_a"), b.alias("id_b"))
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +55,15 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.split_report(split_overlap.split_groups(table(spark, d, "manifest"))[0])
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.group_rows(split_overlap.split_groups(table(spark, d, "manifest"))[0])
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every verified pair of folded ids within one edit, and whether both name the same sample or only look alike."""
+    return split_overlap.split_groups(table(spark, d, "manifest"))[1]
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects.defects(table(spark, d, "qa_benchmark")).select("id", "defect")
 
@@ -117,7 +126,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p6_found, p6_report, p7_found, p7_clean, p8_containers,
+        p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_report, p5_groups, p5_links, p6_found, p6_report, p7_found, p7_clean, p8_containers,
         p9_found, p9_matches, p9_clean_documents, p9_items, p10_found, p10_restored,
     )
 }
\ No newline at end of file

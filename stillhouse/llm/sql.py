@@ -23,6 +23,8 @@ _SPLITS = rf"""m as (select entry_id, lower(trim(split)) as split, nullif(lower(
  nb as (select distinct a.entry_id as a, b.entry_id as b from e a join e b using (key)), reach as (with recursive t(a, b) as (select a, b from nb union select t.a, nb.b from t join nb on t.b = nb.a) select distinct a, b from t)
  select distinct least(p.entry_id, q.entry_id) as entry_id_a, greatest(p.entry_id, q.entry_id) as entry_id_b from reach join k p on p.entry_id = a join k q on q.entry_id = b where p.split = 'train' and q.split <> 'train'"""
 
+_FOLDED = rf"""nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_RAW}, '(?:[\s_\-]*(?:\(\d+\)|COPY|DUP(?:LICATE)?|RE-?RUN(?:[\s_\-]*\d+)?|[\s_\-]R\d+))+\s*$', ''), '[^\p{{L}}\p{{N}}]', '', 'g'), '^([^0-9]*[^0-9])0+([0-9])', '\1\2'), 'O+', 'O', 'g'), '')"""
+
 _RUNS = f"""ep as (select item_id, i - 1 as pi, array_to_string(w[i:i + 9], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 9)) as i from (select distinct item_id, {_WORDS.format('text')} as w from eval_items where text is not null))),
  dp as (select doc_id, i - 1 as pd, array_to_string(w[i:i + 9], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 9)) as i from (select distinct doc_id, {_WORDS.format('text')} as w from documents where text is not null))),
  mt as (select doc_id, item_id, pd, pi, pd - row_number() over (partition by doc_id, item_id, pd - pi order by pd) as island from dp join ep using (g)), rn as (select doc_id, item_id, min(pd) as doc_word, min(pi) as item_word, count(*) + 9 as words from mt group by doc_id, item_id, pd - pi, island),
@@ -35,6 +37,10 @@ SQL = {
     "p5_found": f"with {_SPLITS}",
     "p9_found": f"with {_GRAMS} select doc_id, item_id from hit",
     "p5_report": f"""with {_SPLITS.rsplit("select distinct least", 1)[0].rstrip()}, v as (select distinct k.entry_id, k.split, m.source from k join manifest m using (entry_id) where k.split <> 'train'), t as (select distinct a from reach join k on k.entry_id = b where k.split = 'train') select split, source, count(*) as entries, count(t.a) as overlapping from v left join t on t.a = v.entry_id where exists (select 1 from e where e.entry_id = v.entry_id) group by 1, 2""",
+    "p5_groups": f"""with {_SPLITS.rsplit("select distinct least", 1)[0].rstrip()}, c as (select r.a, min(r.b) as class_id, count(distinct r.b) filter (k.split = 'train') as tr, count(distinct r.b) filter (k.split <> 'train') as ev from reach r join k on k.entry_id = r.b group by 1)
+ select k.entry_id, k.split, m.source, class_id, case when k.split = 'train' then ev else tr end as partners from k join manifest m using (entry_id) join c on c.a = k.entry_id""",
+    "p5_links": rf"""with m as (select distinct lower(trim(split)) as split, {_FOLDED} as s from manifest), e as (select distinct s from m where split in ('test', 'valid') and s is not null), t as (select distinct s from m where split = 'train' and s is not null),
+ n as (select distinct case when s like '%O%' then regexp_replace(s, '^([A-Z]+?)O([0-9])', '\1\2') else s end as nm, s from m where s is not null) select e.s as s_eval, t.s as s_train, levenshtein(e.s, t.s)::int as edits, x.nm = y.nm as same from e join t on levenshtein(e.s, t.s) <= 1 join n x on x.s = e.s join n y on y.s = t.s""",
     "p9_matches": f"with {_RUNS} select * from best",
     "p9_items": f"with {_RUNS}, n as (select item_id, count(*) as documents, max(words) as longest from best group by 1) select i.item_id, suite, coalesce(documents, 0) as documents, coalesce(longest, 0) as longest from (select distinct item_id, suite from eval_items) i left join n on n.item_id = i.item_id",
     "p9_clean_documents": f"with {_GRAMS} select doc_id from documents where doc_id not in (select doc_id from hit)",

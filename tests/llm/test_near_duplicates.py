@@ -51,7 +51,7 @@ def test_odd_rows(spark):
     got = {tuple(r) for r in near_pairs(df, NearParams(width=3, similarity=0.8)).collect()}
     assert got == {("a", "b"), ("a", "f"), ("b", "f")}
     groups = {r["id"]: (r["group_id"], r["copies_of"], r["links"]) for r in near_groups(df, NearParams(width=3, similarity=0.8)).collect()}
-    assert groups["b"] == ("a", "a", 1) and groups["f"] == ("a", "f", 1) and groups["g"] == ("g", "g", 0) and "e" not in groups
+    assert groups["b"] == ("a", "a", 1) and groups["f"] == ("a", "f", 1) and groups["g"] == ("g", "g", 0) and groups["e"] == ("e", "e", 0) and groups["c"] == groups["d"] == ("c", "c", 0)
     links, members = near_links(df.limit(0))
     assert links.count() == 0 and members.count() == 0
 
@@ -62,3 +62,14 @@ def test_components(spark):
     assert all(got[i] == 0 for i in range(41)) and got[101] == got[102] == 100 and all(got[200 + i] == 200 for i in range(60))
     assert components(spark.createDataFrame([], "a int, b int")).count() == 0
     assert [tuple(r) for r in components(spark.createDataFrame([("x", "x")], "a string, b string")).collect()] == [("x", "x")]
+
+
+def test_short_texts_stay_in_the_groups(spark):
+    """Texts of fewer words than a shingle: copies fall together, no pair is made of them, nobody vanishes."""
+    df = spark.createDataFrame([("a", "Heavy oil"), ("b", "heavy  OIL"), ("c", "oil heavy"), ("d", None), ("e", ""), ("f", "one two three four"), ("g", "One, two, three, four!")], "id string, text string")
+    params = NearParams(width=3, similarity=0.8)
+    groups = {r["id"]: r["group_id"] for r in near_groups(df, params).collect()}
+    assert set(groups) == set("abcdefg") and groups["a"] == groups["b"] == "a" and groups["c"] == "c" and groups["d"] == groups["e"] and groups["f"] == groups["g"] == "f"
+    assert {tuple(r) for r in near_pairs(df, params).collect()} == {("f", "g")}
+    apart = df.withColumn("part", F.when(F.col("id") == "g", "y").otherwise("x"))
+    assert near_pairs(apart, params).count() == 0

@@ -35,10 +35,10 @@ def fewest(sizes, capacity):
 
 @settings(max_examples=120, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
-def test_bin_completion_is_near_the_optimum(sizes):
-    bins = complete_bins(sizes, 20, 2_000, 40)
+def test_bin_completion_is_exact(sizes):
+    bins = complete_bins(sizes, 20, 20_000, 400)
     assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 20 for b in bins)
-    assert len(bins) <= min(fewest(sizes, 20) + 1, len(best_fit(sorted(sizes, reverse=True), 20)))
+    assert len(bins) == fewest(sizes, 20) <= len(best_fit(sorted(sizes, reverse=True), 20))
 
 
 def test_bin_completion_beats_best_fit():
@@ -46,6 +46,15 @@ def test_bin_completion_beats_best_fit():
     assert len(complete_bins(sizes, 10, 5_000, 40)) == fewest(sizes, 10)
 
 
+def test_search_goes_on_at_every_depth():
+    """A thousand items of middling size, where best fit is far from the bound: completion needs fewer containers."""
+    rnd = random.Random(4)
+    sizes = [rnd.randint(300, 1_400) for _ in range(400)]
+    bins = complete_bins(sizes, 2_048, 3_000, 40)
+    assert sorted(s for b in bins for s in b) == sorted(sizes) and max(map(sum, bins)) <= 2_048
+    assert len(bins) < len(best_fit(sorted(sizes, reverse=True), 2_048))
+
+
 def test_packing_keeps_every_piece(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (10**6 + 2, "word " * 9_000)], "doc_id bigint, text string"))
     params = PackParams(group_items=30)
@@ -79,7 +88,7 @@ def brute(docs, items, least):
     return out
 
 
-def leak_search_match_brute_force(spark):
+def test_leak_search_matches_brute_force(spark):
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(9)]
     items = [(i, " ".join(rnd.choice(words) for _ in range(14))) for i in range(6)] + [(90, None), (91, ""), (92, "w1 w2")]

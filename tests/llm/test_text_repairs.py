@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillhouse.llm.encoding_repair import repaired
-from stillhouse.llm.scan_repair import clean_paragraphs, noise_of, page_number, records_of, variants
+from stillhouse.llm.scan_repair import BODY as TEXT, BREAK, HEADER, INSIDE, LineModel, _File, clean_paragraphs, line_features, line_model, noise_of, page_number, records_of, variants
 
 
 @pytest.mark.parametrize("text,want", [("12", 12), ("- 12 -", 12), ("— 3 —", 3), ("· 4 ·", 4), ("5 / 8", 5), ("Page 4 of 9", 4), ("p. 7", 7), ("S. 22", 22), ("[9]", 9), ("xvi", 0), ("l3", 13), ("12.5", None), ("word", None), ("331.0   107.0", None), ("", None)])
@@ -35,6 +35,9 @@ def test_noise_and_repair(spark):
         page(1, "NOTES ON OIL\n\n" + BODY + "\n\n7", 2), page(2, BODY.replace("replicate runs and the solvent was changed", "repli-\ncate runs and the sol-\nvent was changed") + "\n\n8", 3), page(3, BODY.replace("solvent", "so1vent"), 4), page(4, "On the storage of resins\nA. Smith\n\n" + BODY, 1),
         page(5, None), page(6, ""), page(7, "x" * 100_000, 9), (None, BODY, None, None, None, None, None, None, None, None, None), page(8, "See the long-\nchain compounds.", 5), page(9, BODY + "\n\n12.1   13.2\n14.2   15.1\n66\n\n" + BODY, 6, "h.pdf"),
     ]
+    # longer pages, from whose insides the line model learns
+    long = lambda i: "\n".join(f"{x}\n{y}\n{z} {i}." for x, y, z in [("Heavy resins were measured in the crude over many", "replicate runs and the solvent was changed between", "them. The storage tank held the resins for week"), ("The solvent was changed in the storage tank over", "many runs and the resins were measured between", "them. Replicate runs held the heavy crude for week")] * 3)
+    clean += [page(300 + i, long(i), 3, f"m{i}.pdf", f"Resins of the crude {i}") for i in range(40)]
     clean += [page(200 + i, "A long-chain compound was found.", 3, f"k{i}.pdf") for i in range(12)]
     chunks = [("c1", BODY.replace("many\n", "many\nS. 22\nNotes on Oil, Vol. 3, No. 4\n"), (3, None, None, None, "f.pdf")), ("c1", BODY.replace("many\n", "many\nS. 22\nNotes on Oil, Vol. 3, No. 4\n"), (3, None, None, None, "f.pdf")), ("c2", BODY, None), (None, BODY, None)]
     p, c = tables(spark, clean + noisy, chunks)
@@ -78,3 +81,15 @@ def test_odd_texts(spark):
     got = {r["doc_id"]: (r["garbled"], r["text"]) for r in repaired(df).collect()}
     assert got[1] == (False, None) and got[2] == (False, "") and got[3] == (False, "plain") and got[4][0] and got[5][0] and not got[6][0] and len(got) == 7
     assert repaired(df.limit(0)).count() == 0
+
+
+def test_the_line_model_decides(spark):
+    """Headers come from the fitted model alone: without its weights no line is one. Lines inside a page never are."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/loaded_documents.parquet")
+    chunks = spark.read.parquet("/root/testdata/sf0.01/document_chunks.parquet")
+    model = line_model(records_of(pages, chunks))
+    lines = ["NOTES ON OIL, Vol. 3, No. 4", ""] + [f"Heavy resins were measured in crude {i} over many" for i in range(8)] + ["", "— 7 —"]
+    feats = line_features(lines, _File("On the storage of resins", "Notes on Oil", ["A. Smith"]), True, False, lambda n: n == 7)
+    assert feats[1] is None and feats[6] is INSIDE
+    assert model.labels(feats) == [HEADER, BREAK] + [TEXT] * 8 + [BREAK, HEADER]
+    assert HEADER not in LineModel(model.steps, {}, -20.0, 0.5).labels(feats) and model.labels([]) == []
