@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Up to this many features profiles are compared as dense rows, whose names the driver reads; with more, by a join on the feature.
+DENSE_FEATURES = 2_000
+
 
 def long_profiles(profiles: DataFrame, id_col: str = "profile_id", map_col: str = "features") -> DataFrame:
     """(id, feature, value): one row per finite feature; keys trimmed, lower-cased, blanks as underscores.
@@ -44,6 +49,67 @@ def shared_feature_distance(queries: DataFrame, history: DataFrame, scales: Data
     return g.filter("sw > 0").select("query_id", "id", (F.sqrt(F.col("s") / F.col("sw")) + 1.0 / F.col("shared")).alias("distance"), "shared")
 
 
+def _dense(long: DataFrame, names: list[str]) -> DataFrame:
+    """(id, x): one row per profile, null where it lacks a feature; a profile's own features are what is collected."""
+    m = long.filter(F.col("feature").isin(names)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("m"))
+    return m.select("id", F.transform(F.array(*map(F.lit, names)), lambda n: F.col("m")[n]).alias("x"))
+
+
+def block_nearest(queries: DataFrame, history: DataFrame, k: int, scales: DataFrame | None = None, weights: DataFrame | None = None, default_weight: float = 1.0, query_rows: int = 512, history_rows: int = 8_192) -> DataFrame:
+    """The k nearest per query as of ``nearest(shared_feature_distance(...), k)``, by blocks of profiles.
+
+    Profiles become dense rows; every block of queries meets every block of history once, and only k rows per query
+    and block leave a task. Work is queries x history, as for any exact search, but no row per shared feature is
+    shuffled and blocks are of bounded size whatever the keys. Beyond DENSE_FEATURES features the join does it.
+    """
+    names = sorted(r[0] for r in history.select("feature").distinct().limit(DENSE_FEATURES + 1).collect())
+    if len(names) > DENSE_FEATURES or not names:
+        return nearest(shared_feature_distance(queries, history, scales, weights, default_weight), k)
+    spread = np.ones(len(names))
+    if scales is not None:
+        by = {r["feature"]: r["scale"] for r in scales.collect()}  # one row per feature
+        spread = np.array([by.get(n, np.nan) for n in names], dtype=float)
+    heavy = np.full(len(names), default_weight if weights is not None else 1.0)
+    if weights is not None:
+        by = {r["feature"]: r["weight"] for r in weights.collect()}
+        heavy = np.array([by.get(n, default_weight) for n in names], dtype=float)
+    relative = scales is None
+    nq, nh = (max(1, -(-df.select("id").distinct().count() // rows)) for df, rows in ((queries, query_rows), (history, history_rows)))
+    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    q = _dense(queries, names).select(F.col("id").alias("query_id"), F.col("x").alias("qx"), block(nq, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nh - 1))).alias("hb"))
+    h = _dense(history, names).select(F.col("id").alias("own_id"), F.col("x").alias("hx"), block(nh, 2).alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "distance": [], "shared": []})
+        a, b = np.array(left["qx"].tolist(), dtype=float), np.array(right["hx"].tolist(), dtype=float)
+        qid, hid = left["query_id"].to_numpy(), right["own_id"].to_numpy()
+        total, weight, shared = (np.zeros((len(a), len(b))) for _ in range(3))
+        for f in range(a.shape[1]):
+            u, v = a[:, f, None], b[None, :, f]
+            diff = u - v
+            part = diff / (np.fmax(np.fmax(np.abs(u), np.abs(v)), 1.0) if relative else spread[f])
+            there = ~np.isnan(part)
+            total += np.where(there, heavy[f] * part * part, 0.0)
+            weight += there * heavy[f]
+            shared += there
+        with np.errstate(divide="ignore", invalid="ignore"):
+            distance = np.sqrt(total / weight) + 1.0 / shared
+        distance[(weight <= 0) | (qid[:, None] == hid[None, :])] = np.inf
+        out = []
+        for i in range(len(a)):
+            d = np.round(distance[i], 9)
+            last = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
+            at = np.flatnonzero((d <= last) & np.isfinite(d))
+            at = at[np.lexsort((hid[at], -shared[i, at], d[at]))][:k]
+            out.append(pd.DataFrame({"query_id": qid[i], "id": hid[at], "distance": distance[i, at], "shared": shared[i, at].astype(np.int64)}))
+        return pd.concat(out)
+
+    kind = dict(history.dtypes)["id"]
+    met = q.groupBy("qb", "hb").cogroup(h.groupBy("qb", "hb")).applyInPandas(compare, f"query_id {kind}, id {kind}, distance double, shared bigint")
+    return nearest(met, k)
+
+
 def nearest(distances: DataFrame, k: int) -> DataFrame:
     """The k nearest per query: smaller distance (9 decimals), more shared features, smaller id."""
     w = Window.partitionBy("query_id").orderBy(F.round("distance", 9), F.desc("shared"), "id")
@@ -91,3 +157,20 @@ def target_weights(train: DataFrame, targets: list[str], least: int = 8) -> Data
     g = g.filter((F.col("n") >= least) & (F.col("dx") >= 2) & (F.col("dy") >= 2)).join(total, "target")
     mean = (F.abs("pearson") + F.abs("spearman")) / 2.0
     return g.select("target", "feature", "n", "pearson", "spearman", (F.col("n") / F.col("total")).alias("coverage"), (0.05 + mean * F.col("n") / F.col("total")).alias("weight"))
+
+
+def rank_spaced(rows: DataFrame, group: str, by: list[str], wanted: int) -> DataFrame:
+    """``wanted`` rows of each group at evenly spaced ranks (first and last included, halves to even), in the order of ``by``.
+
+    Ranks come from a range sort over group and ``by``, so that no group is held in one task: rows are counted per
+    partition of the sort, and a row's rank is its place in its partition plus the group's rows in earlier ones. Groups of
+    fewer rows come out whole.
+    """
+    place = rows.repartitionByRange(*[group, *by]).sortWithinPartitions(group, *by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sizes = place.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    w = Window.partitionBy(group).orderBy("_part")  # one row per partition of the sort
+    before = sizes.select(group, "_part", "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(group)).alias("_total"))
+    ranked = place.join(F.broadcast(before), [group, "_part"]).withColumn("rank", (F.col("_at") - F.col("_first") + F.col("_before")).cast("bigint"))
+    step = (F.col("_total") - 1) / F.lit(float(max(1, wanted - 1)))
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: F.bround(i * step).cast("bigint")))
+    return ranked.filter((F.col("_total") <= wanted) | F.array_contains(chosen, F.col("rank"))).drop("_part", "_at", "_first", "_before", "_total")

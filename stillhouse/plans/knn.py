@@ -23,6 +23,13 @@ def _split(spark, d):
     return K.long_profiles(p.filter(train)), K.long_profiles(p.filter(~train & (F.col("profile_id") % 50 == 0)))
 
 
+def _held_out(spark, d):
+    """Long profiles of the training split, and of all others: errors are measured over every profile held out."""
+    p = table(spark, d, "sample_profiles")
+    train = F.lower(F.trim(F.coalesce("split", F.lit("")))) == "train"
+    return K.long_profiles(p.filter(train)), K.long_profiles(p.filter(~train))
+
+
 _LONG = """fl as (select profile_id as id, lower(trim(coalesce(split, ''))) = 'train' as train, unnest(map_entries(features)) as e from sample_profiles),
  lp as (select id, train, feature, max(value) as value from (select id, train, replace(lower(trim(e.key)), ' ', '_') as feature, e.value as value from fl) where value is not null and not isnan(value) group by all),
  h as (select id, feature, value from lp where train), q as (select id, feature, value from lp where not train and id % 50 = 0)"""
@@ -37,7 +44,7 @@ def profile_features(spark, d):
 
 def knn_shared_features(spark, d):
     h, q = _split(spark, d)
-    n = K.nearest(K.shared_feature_distance(q, h), 8)
+    n = K.block_nearest(q, h, 8)
     return n.select("query_id", "id", "rank", "shared", F.round("distance", 6).alias("distance"))
 
 
@@ -46,7 +53,7 @@ _RELD = "rd as (select q.id as query_id, h.id, sqrt(avg(power((q.value - h.value
 
 def knn_scaled(spark, d):
     h, q = _split(spark, d)
-    n = K.nearest(K.shared_feature_distance(q, h, K.feature_scales(h, by_size=True)), 8)
+    n = K.block_nearest(q, h, 8, K.feature_scales(h, by_size=True))
     return n.select("query_id", "id", "rank", "shared", F.round("distance", 6).alias("distance"))
 
 
@@ -70,18 +77,18 @@ def knn_weighted(spark, d):
     """Neighbours with features weighted by their largest correlation with a target, 0.05 where none is known."""
     h, q = _split(spark, d)
     w = K.target_weights(h, TARGETS).groupBy("feature").agg(F.max("weight").alias("weight"))
-    n = K.nearest(K.shared_feature_distance(q, h, K.feature_scales(h, by_size=True), w, 0.05), 8)
+    n = K.block_nearest(q, h, 8, K.feature_scales(h, by_size=True), w, 0.05)
     return n.select("query_id", "id", "rank", "shared", F.round("distance", 6).alias("distance"))
 
 
 _WD = "mw as (select feature, max(weight) as weight from wt group by 1), wd as (select q.id as query_id, h.id, sqrt(sum(coalesce(weight, 0.05) * power((q.value - h.value) / scale, 2)) / sum(coalesce(weight, 0.05))) + 1.0::double / count(*) as distance, count(*) as shared from q join h using (feature) join sc using (feature) left join mw using (feature) where q.id <> h.id group by 1, 2)"
 
 
-def _estimates(spark, d):
+def _estimates(spark, d, split=None):
     """Targets of the query profiles estimated from neighbours found without the targets."""
-    h, q = _split(spark, d)
+    h, q = split or _split(spark, d)
     hidden = ~F.col("feature").isin(TARGETS)
-    n = K.nearest(K.shared_feature_distance(q.filter(hidden), h.filter(hidden), K.feature_scales(h, by_size=True)), 6)
+    n = K.block_nearest(q.filter(hidden), h.filter(hidden), 6, K.feature_scales(h, by_size=True))
     return K.idw_estimates(n, h.filter(~hidden)), q.filter(~hidden)
 
 
@@ -94,11 +101,69 @@ _EST = f"""md as (select q.id as query_id, h.id, sqrt(avg(power((q.value - h.val
  es as (select query_id, feature as target, sum(value / greatest(distance, 1e-6)) / sum(1 / greatest(distance, 1e-6)) as estimate, min(value) as low, max(value) as high, quantile_cont(value, 0.5) as mid, count(*) as supporters from nn join h on nn.id = h.id where feature in ({_TGT}) group by 1, 2)"""
 
 
-def holdout_errors(spark, d):
-    e, actual = _estimates(spark, d)
+def _errors(e, actual, keys):
     rows = e.join(actual.select(F.col("id").alias("query_id"), F.col("feature").alias("target"), F.col("value").alias("actual")), ["query_id", "target"])
-    m = K.error_measures(rows, ["target"])
-    return m.select("target", "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mape", "bias", "median_ae", "max_ae", "range_hit")])
+    m = K.error_measures(rows, keys)
+    return m.select(*keys, "n", *[F.round(c, 6).alias(c) for c in ("mae", "rmse", "mape", "bias", "median_ae", "max_ae", "range_hit")])
+
+
+def holdout_errors(spark, d):
+    return _errors(*_estimates(spark, d, _held_out(spark, d)), ["target"])
+
+
+def _scenarios():
+    """(scenario, target, features that may be compared): the target hidden, or every bulk property."""
+    for t in TARGETS:
+        yield "other_bulk", [t], F.col("feature") != t
+    yield "analysis_only", TARGETS, ~F.col("feature").startswith("bulk_property:")
+
+
+def _by_method(neighbours, values, scenario, targets):
+    """Estimates of each method from one set of neighbours: inverse distance, mean and median of the supporters."""
+    v = values.filter(F.col("feature").isin(targets)).select("id", F.col("feature").alias("target"), "value")
+    w = 1.0 / F.greatest("distance", F.lit(1e-6))
+    g = neighbours.join(v, "id").groupBy("query_id", "target").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), (F.sum(w * F.col("value")) / F.sum(w)).alias("idw"), F.avg("value").alias("mean"), F.expr("percentile(value, 0.5)").alias("median")
+    )  # at most six supporters each
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("estimate")) for m in ("idw", "mean", "median")])
+    return g.select("query_id", "target", "low", "high", F.inline(methods)).withColumn("scenario", F.lit(scenario))
+
+
+def _grid(h, q):
+    """Estimates of every profile of ``q`` from ``h`` by scenario, target and method."""
+    out, scales = None, K.feature_scales(h, by_size=True)
+    for scenario, targets, seen in _scenarios():
+        part = _by_method(K.block_nearest(q.filter(seen), h.filter(seen), 6, scales), h, scenario, targets)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def holdout_grid(spark, d):
+    """Errors over all held-out profiles by scenario, method and target."""
+    h, q = _held_out(spark, d)
+    return _errors(_grid(h, q), q, ["scenario", "method", "target"])
+
+
+def leave_one_out(spark, d):
+    """Errors over all training profiles, each estimated from the others, by method and target, without bulk properties."""
+    h, _ = _held_out(spark, d)
+    seen = ~F.col("feature").startswith("bulk_property:")
+    n = K.block_nearest(h.filter(seen), h.filter(seen), 6, K.feature_scales(h, by_size=True))
+    return _errors(_by_method(n, h, "analysis_only", TARGETS), h, ["method", "target"])
+
+
+def top_target_features(spark, d):
+    """The 25 heaviest features of each target."""
+    h, _ = _split(spark, d)
+    w = Window.partitionBy("target").orderBy(F.desc(F.round("weight", 9)), "feature")
+    return K.target_weights(h, TARGETS).withColumn("rank", F.row_number().over(w)).filter("rank <= 25").select("target", "rank", "feature", F.round("weight", 6).alias("weight"))
+
+
+def spaced_holdout(spark, d):
+    """Eleven profiles per split spread evenly over the ranks of their density."""
+    x = _long(spark, d).filter(F.col("feature") == TARGETS[0]).select(F.col("id").alias("profile_id"), "value")
+    p = table(spark, d, "sample_profiles").select("profile_id", F.lower(F.trim(F.coalesce("split", F.lit("")))).alias("split")).distinct().join(x, "profile_id")
+    return K.rank_spaced(p, "split", ["value", "profile_id"], 11).select("split", "rank", "profile_id", F.round("value", 6).alias("value"))
 
 
 def feature_redundancy(spark, d):
@@ -166,7 +231,25 @@ def pls_scores(spark, d):
     return L.pls_scores(t, L.standard_vectors(rest, base, names), 4).withColumn("score", F.round("score", 5))
 
 
-QUERIES = {f.__name__: f for f in (pca_scores, pls_scores, profile_features, knn_shared_features, knn_scaled, knn_weighted, feature_target_weights, feature_redundancy, idw_property_estimates, holdout_errors, zscore_neighbours, property_inventory, masked_features)}
+_ERRORS = "count(*) as n, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(100 * avg(case when actual <> 0 then abs(e) / abs(actual) end), 6) as mape, round(avg(e), 6) as bias, round(quantile_cont(abs(e), 0.5), 6) as median_ae, round(max(abs(e)), 6) as max_ae, round(avg((actual between low and high)::int::double), 6) as range_hit"
+
+
+def _grid_sql(other: str, cases: list[tuple[str, list[str], str]]) -> str:
+    """Estimates of the profiles of ``other`` by (scenario, targets, condition on features)."""
+    parts = []
+    for scenario, targets, seen in cases:
+        names = ", ".join(f"'{t}'" for t in targets)
+        dist = f"(select q.id as query_id, h.id, sqrt(avg(power((q.value - h.value) / scale, 2))) + 1.0::double / count(*) as distance, count(*) as shared from {other} q join h using (feature) join sc using (feature) where q.id <> h.id and {seen} group by 1, 2)"
+        parts.append(f"select '{scenario}' as scenario, query_id, feature as target, sum(value / greatest(distance, 1e-6)) / sum(1 / greatest(distance, 1e-6)) as idw, avg(value) as mean, quantile_cont(value, 0.5) as median, min(value) as low, max(value) as high from ({_NEAR.format(dist, 6)}) nn join h on nn.id = h.id where feature in ({names}) group by query_id, feature")
+    methods = " union all ".join(f"select scenario, '{m}' as method, query_id, target, {m} as estimate, low, high from g" for m in ("idw", "mean", "median"))
+    return f"g as ({' union all '.join(parts)}), es as ({methods}), r as (select es.*, q.value as actual, estimate - q.value as e from es join {other} q on q.id = query_id and q.feature = target)"
+
+
+_ALL = _LONG.replace(" and id % 50 = 0", "")
+_ANALYSIS = "not starts_with(feature, 'bulk_property:')"
+_GRID_CASES = [("other_bulk", [t], f"feature <> '{t}'") for t in TARGETS] + [("analysis_only", TARGETS, _ANALYSIS)]
+
+QUERIES = {f.__name__: f for f in (pca_scores, pls_scores, profile_features, knn_shared_features, knn_scaled, knn_weighted, feature_target_weights, feature_redundancy, idw_property_estimates, holdout_errors, holdout_grid, leave_one_out, top_target_features, spaced_holdout, zscore_neighbours, property_inventory, masked_features)}
 _OUT = "select query_id, id, rank, shared, round(distance, 6) as distance from ({0})"
 SQL = {
     "profile_features": f"with {_LONG} select feature, count(*) as n, round(avg(value), 4) as mean, round(stddev_pop(value), 4) as sd, round(min(value), 6) as low, round(max(value), 6) as high from lp group by 1",
@@ -176,7 +259,11 @@ SQL = {
     "feature_target_weights": f"with {_LONG}, {_W} select target, feature, n, round(pearson, 6) as pearson, round(spearman, 6) as spearman, round(coverage, 6) as coverage, round(weight, 6) as weight from wt",
     "feature_redundancy": f"with {_LONG}, p as (select a.feature as feature_a, b.feature as feature_b, a.value as va, b.value as vb from h a join h b using (id) where a.feature < b.feature), r as (select *, rank() over (partition by feature_a, feature_b order by va) + (count(*) over (partition by feature_a, feature_b, va) - 1) / 2.0::double as ra, rank() over (partition by feature_a, feature_b order by vb) + (count(*) over (partition by feature_a, feature_b, vb) - 1) / 2.0::double as rb from p) select feature_a, feature_b, count(*) as n, round(corr(ra, rb), 6) as spearman from r group by 1, 2 having count(*) >= 8 and abs(round(corr(ra, rb), 9)) >= 0.3",
     "idw_property_estimates": f"with {_LONG}, {_SC}, {_EST} select query_id, target, supporters, round(estimate, 6) as estimate, round(low, 6) as low, round(high, 6) as high, round(mid, 6) as mid from es",
-    "holdout_errors": f"with {_LONG}, {_SC}, {_EST}, r as (select es.*, q.value as actual, estimate - q.value as e from es join q on q.id = query_id and q.feature = target) select target, count(*) as n, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(100 * avg(case when actual <> 0 then abs(e) / abs(actual) end), 6) as mape, round(avg(e), 6) as bias, round(quantile_cont(abs(e), 0.5), 6) as median_ae, round(max(abs(e)), 6) as max_ae, round(avg((actual between low and high)::int::double), 6) as range_hit from r group by 1",
+    "holdout_errors": f"with {_LONG.replace(' and id % 50 = 0', '')}, {_SC}, {_EST}, r as (select es.*, q.value as actual, estimate - q.value as e from es join q on q.id = query_id and q.feature = target) select target, count(*) as n, round(avg(abs(e)), 6) as mae, round(sqrt(avg(e * e)), 6) as rmse, round(100 * avg(case when actual <> 0 then abs(e) / abs(actual) end), 6) as mape, round(avg(e), 6) as bias, round(quantile_cont(abs(e), 0.5), 6) as median_ae, round(max(abs(e)), 6) as max_ae, round(avg((actual between low and high)::int::double), 6) as range_hit from r group by 1",
+    "holdout_grid": f"with {_ALL}, {_SC}, {_grid_sql('q', _GRID_CASES)} select scenario, method, target, {_ERRORS} from r group by 1, 2, 3",
+    "leave_one_out": f"with {_ALL}, {_SC}, {_grid_sql('h', _GRID_CASES[-1:])} select method, target, {_ERRORS} from r group by 1, 2",
+    "top_target_features": f"with {_LONG}, {_W} select target, rank, feature, round(weight, 6) as weight from (select *, row_number() over (partition by target order by round(weight, 9) desc, feature) as rank from wt) where rank <= 25",
+    "spaced_holdout": f"with {_LONG}, p as (select distinct profile_id, lower(trim(coalesce(split, ''))) as split from sample_profiles), r as (select split, profile_id, value, row_number() over (partition by split order by value, profile_id) - 1 as rank, count(*) over (partition by split) as n from p join lp on lp.id = profile_id where feature = '{TARGETS[0]}') select split, rank, profile_id, round(value, 6) as value from r where n <= 11 or exists (select 1 from (select unnest(generate_series(0, 10)) as i) where round_even(i * ((n - 1) / 10.0::double), 0)::bigint = rank)",
     "zscore_neighbours": f"with {_LONG}, st as (select feature, avg(value) as m, stddev_pop(value) as sd from lp group by 1), z as (select id, feature, (value - m) / case when sd > 1e-12 then sd else 1 end as z from lp join st using (feature)), sq as (select id, sum(z * z) as sq from z group by 1), c as (select a.id as query_id, b.id, sum(a.z * b.z) as dot from z a join z b using (feature) where a.id % 50 = 0 and a.id <> b.id group by 1, 2), e as (select query_id, c.id, sqrt(greatest(s.sq + t.sq - 2 * dot, 0)) as distance from c join sq s on s.id = c.id join sq t on t.id = query_id) select query_id, id, rank, round(distance, 5) as distance from (select *, row_number() over (partition by query_id order by round(distance, 6), id) as rank from e) where rank <= 5",
     "property_inventory": f"with {_LONG} select string_split(feature, ':')[1] as channel, count(*) as \"values\", count(distinct feature) as features, count(distinct id) as profiles from lp group by 1",
     "masked_features": f"with {_LONG}, t as (select unnest([{_TGT}]) as target) select target, 'other_bulk' as scenario, count(*) as \"values\", count(distinct feature) as features from lp, t where feature <> target group by 1 union all select target, 'analysis_only', count(*), count(distinct feature) from lp, t where not starts_with(feature, 'bulk_property:') group by 1",
