@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stillhouse.functions.text import approx_tokens, doc_key, normalize_text, word_count
 from stillhouse.operators import corpus as C
 from stillhouse.operators.retrieval import char_chunks
+from stillhouse.operators.evidence import paragraph_chunks as split_paragraphs
 from stillhouse.sources.tables import table
 
 _SP = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -217,12 +218,9 @@ def sentence_chunks(spark, d):
 
 
 def paragraph_chunks(spark, d):
-    """Paragraphs merged while they fit 800 characters; longer ones stay whole."""
-    paras = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
-    start = F.array().cast("array<string>")
-    add = lambda acc, x: F.when((F.size(acc) > 0) & (F.length(F.element_at(acc, -1)) + F.length(x) + 2 <= 800), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit("\n\n"), x)))).otherwise(F.concat(acc, F.array(x)))
-    merged = table(spark, d, "documents").select("doc_id", F.posexplode(F.aggregate(paras, start, add)).alias("chunk_no", "t"))
-    return merged.select("doc_id", "chunk_no", F.length("t").alias("chars"))
+    """Paragraphs merged while they fit 800 characters; longer ones cut into pieces of 800 and a rest."""
+    c = table(spark, d, "documents").select("doc_id", F.posexplode(split_paragraphs(F.col("text"))).alias("chunk_no", "t"))
+    return c.select("doc_id", "chunk_no", F.length("t").alias("chars"), F.md5("t").alias("digest"))
 
 
 QUERIES = {

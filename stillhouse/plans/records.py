@@ -93,9 +93,12 @@ def merged_labels(spark, d):
 
 def table_preview(spark, d):
     """The first five manifest entries of each source as text, nulls as empty, with the number there are."""
-    w = Window.partitionBy("source")
-    m = table(spark, d, "manifest").withColumns({"r": F.row_number().over(w.orderBy("entry_id")), "total": F.count("*").over(w)})
-    return m.filter("r <= 5").select(F.coalesce("source", F.lit("")).alias("source"), F.col("entry_id").cast("string").alias("entry_id"), F.coalesce("sample_name", F.lit("")).alias("sample_name"), F.coalesce(F.col("has_ir").cast("string"), F.lit("")).alias("has_ir"), "total")
+    rows = table(spark, d, "manifest")
+    total = rows.groupBy(F.coalesce("source", F.lit("")).alias("key")).agg(F.count("*").alias("total"))
+    # the limit is taken before the shuffle, so a source of any size passes five rows on per task
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("entry_id"))).filter("r <= 5")
+    m = first.join(total, F.coalesce("source", F.lit("")) == F.col("key"))
+    return m.select(F.coalesce("source", F.lit("")).alias("source"), F.col("entry_id").cast("string").alias("entry_id"), F.coalesce("sample_name", F.lit("")).alias("sample_name"), F.coalesce(F.col("has_ir").cast("string"), F.lit("")).alias("has_ir"), "total")
 
 
 def except_and_intersect(spark, d):

@@ -16,13 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made and set.
+    Only where the setting is absent and the session is a local one (tests) a temporary folder is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = found.get() if found.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder; on a cluster intermediate tables need one")
         where = "file://" + tempfile.mkdtemp(prefix="stillhouse-")
         spark.sparkContext.setCheckpointDir(where)
     return where

@@ -3,7 +3,7 @@ import importlib
 import pytest
 from oracle import duck_rows, rows_of
 
-MODULES = ["data_quality", "retrieval", "corpus", "graph", "knn", "curves", "evalkit", "catalog", "records"]
+MODULES = ["data_quality", "retrieval", "corpus", "graph", "knn", "curves", "evalkit", "catalog", "records", "evidence"]
 PAIRS = [(m, k) for m in MODULES for k in importlib.import_module(f"stillhouse.plans.{m}").SQL]
 
 
