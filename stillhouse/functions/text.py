@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: White space of any script, spelled out so that other engines can use the same class.
 SPACES = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-#: Letters and digits, then at least one more of these or one of \ ] ^ _ / (the class that scores are defined with).
+# Fixed value: letters and digits, then at least one more of these or one of \ ] ^ _ / (the class that scores are defined with).
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9\\\]^_/]+"
 CJK = r"[\x{4e00}-\x{9fff}]"
 

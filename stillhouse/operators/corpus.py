@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stillhouse.functions.text import alpha_ratio, normalize_text, word_count
 
-# Forms of table rows, reference lists and acknowledgements.
+# Forms of table rows, reference lists and acknowledgements, and cues of method sentences.
 TABLE_FORM = r"(?i)(\b(m/z|ppm|rt|fid|tof|ei|esi|appi|api)\b|[%\d]\s*$|^[\w\-\+\./]+(\s+[\w\-\+\./]+){0,6}$)"
 SYMBOLS_ONLY = r"^[\W\d_]+$"
 REFERENCE_SECTION = r"(?i)^\s*(references|bibliography)\s*$"
@@ -18,45 +18,49 @@ ACKNOWLEDGEMENT = r"(?i)\b(acknowledg(e)?ments?|funding|author contributions?|co
 METHOD_CUES = ["used to", "was used", "were used", "analyzed by", "measured by", "detected by", "characterized by", "an energy-dispersive", "gc×gc", "ft-icr", "mass spectrometry", "electrospray", "photoionization"]
 
 
-def is_table_fragment(text: Column) -> Column:
-    """Empty, symbols only, two bars or more, or a short row of table cells."""
-    compact = normalize_text(text)
-    bars = F.length(compact) - F.length(F.replace(compact, F.lit("|")))
-    return (compact == "") | compact.rlike(SYMBOLS_ONLY) | (bars >= 2) | (compact.rlike(TABLE_FORM) & (word_count(text) <= 14))
+def chunk_facts(text: Column, section: Column) -> dict[str, Column]:
+    """What the rules below ask of a chunk; a null text counts as empty.
 
-
-def is_reference_or_ack(text: Column, section: Column) -> Column:
-    s = F.coalesce(F.trim(section), F.lit(""))
-    return s.rlike(REFERENCE_SECTION) | s.rlike(ACKNOWLEDGEMENT) | F.substring(text, 1, 240).rlike(ACKNOWLEDGEMENT)
+    words; letters (their share); row_form (reads like table cells); table (nothing, symbols only, two bars or more, or at most
+    14 words in row form); back_matter (references or acknowledgements by section or first 240 characters); method.
+    """
+    t = F.coalesce(text, F.lit(""))
+    flat, low, head = normalize_text(t), F.lower(t), F.coalesce(F.trim(section), F.lit(""))
+    words, row_form = word_count(t), normalize_text(t).rlike(TABLE_FORM)
+    return {
+        "words": words, "letters": alpha_ratio(t), "row_form": row_form,
+        "table": flat.rlike(f"^$|{SYMBOLS_ONLY}") | (F.regexp_count(flat, F.lit(r"\|")) >= 2) | (row_form & (words <= 14)),
+        "back_matter": head.rlike(f"{REFERENCE_SECTION}|{ACKNOWLEDGEMENT}") | F.substring(t, 1, 240).rlike(ACKNOWLEDGEMENT),
+        "method": F.greatest(*[low.contains(cue) for cue in METHOD_CUES]),
+    }
 
 
-def is_method_sentence(text: Column) -> Column:
-    low = F.lower(text)
-    out = F.lit(False)
-    for cue in METHOD_CUES:
-        out = out | low.contains(cue)
-    return out
+def first_rule(rules: list[tuple[str | None, Column]], default: str | None = None) -> Column:
+    """The name of the first rule whose condition holds; a rule named None stops the search without a name."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, holds in rules:
+        out = out.when(holds, F.lit(name).cast("string"))
+    return out.otherwise(F.lit(default).cast("string"))
 
 
 def drop_reason(text: Column, section: Column, min_words: int = 40, max_words: int = 0, min_alpha: float = 0.55, keep_short_methods: bool = False) -> Column:
     """Why a chunk is dropped, the first rule that applies; null for one that stays. A null text counts as empty."""
-    t = F.coalesce(text, F.lit(""))
-    n = word_count(t)
-    short = n < min_words
-    rules = F.when(short & is_method_sentence(t), None) if keep_short_methods else F.when(F.lit(False), None)
-    rules = rules.when(short & is_table_fragment(t), "short_table_fragment").when(short, "too_short")
-    if max_words > 0:
-        rules = rules.when(n > max_words, "too_long")
-    return rules.when(is_reference_or_ack(t, section), "reference_or_ack").when(alpha_ratio(t) < min_alpha, "low_alpha_ratio").when(is_table_fragment(t) & (n < 80), "table_fragment")
+    x = chunk_facts(text, section)
+    short = x["words"] < min_words
+    return first_rule([
+        (None, short & x["method"] & F.lit(keep_short_methods)), ("short_table_fragment", short & x["table"]), ("too_short", short), ("too_long", (x["words"] > max_words) & F.lit(max_words > 0)),
+        ("reference_or_ack", x["back_matter"]), ("low_alpha_ratio", x["letters"] < min_alpha), ("table_fragment", x["table"] & (x["words"] < 80)),
+    ])
 
 
 def quality_bucket(text: Column, section: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    n = word_count(t)
-    return (
-        F.when((n < 40) & normalize_text(t).rlike(TABLE_FORM), "short_table_fragment").when(n < 40, "short_fragment").when(is_reference_or_ack(t, section), "reference_or_ack")
-        .when(alpha_ratio(t) < 0.55, "low_alpha_ratio").when(n >= 450, "very_long").when(n >= 300, "long").otherwise("normal")
-    )
+    """The first of the quality classes that a chunk falls into."""
+    x = chunk_facts(text, section)
+    short = x["words"] < 40
+    return first_rule([
+        ("short_table_fragment", short & x["row_form"]), ("short_fragment", short), ("reference_or_ack", x["back_matter"]), ("low_alpha_ratio", x["letters"] < 0.55),
+        ("very_long", x["words"] >= 450), ("long", x["words"] >= 300),
+    ], "normal")
 
 
 def nearest_rank(values: DataFrame, shares: dict[str, float], keys: list[str]) -> DataFrame:

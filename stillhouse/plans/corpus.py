@@ -26,9 +26,7 @@ def _alpha(x: str) -> str:
     return rf"(case when length({x}) = 0 then 0 else length(regexp_replace({x}, '\P{{L}}', '', 'g'))::double / length({x}) end)"
 
 
-_TABLE = r"(?i)(\b(m/z|ppm|rt|fid|tof|ei|esi|appi|api)\b|[%\d]\s*$|^[\w\-\+\./]+(\s+[\w\-\+\./]+){0,6}$)"
-_ACK = r"(?i)\b(acknowledg(e)?ments?|funding|author contributions?|conflicts? of interest|supporting information)\b"
-_REF = r"(?i)^\s*(references|bibliography)\s*$"
+_TABLE, _ACK, _REF = C.TABLE_FORM, C.ACKNOWLEDGEMENT, C.REFERENCE_SECTION
 
 
 def _chunks(spark, d):
