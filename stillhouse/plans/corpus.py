@@ -153,12 +153,24 @@ def language_gate(spark, d):
 
 
 # Markers of questions that only make sense beside their paper.
-VAGUE = ["according to the paper", "according to the study", "according to the studies", "according to the article", "according to both papers", "according to the two papers", "based on the provided evidence", "based on the paper", "based on the study", "based on the article", "in the paper", "in the study", "in this paper", "in this study", "paper a", "paper b", "provided evidence", "the two papers", "these two papers", "both papers", "the two studies", "the authors", "this work"]
+VAGUE = [
+    "according to the paper", "according to the study", "according to the studies", "according to the article", "according to both papers", "according to the two papers", "according to the two studies", "according to the two approaches",
+    "based on the provided evidence", "based on provided evidence", "based on the paper", "based on the study", "based on the article", "based on paper a", "based on paper b", "in the paper", "in the study", "in the studies", "in this paper", "in this study", "paper a", "paper b", "provided evidence",
+    "the two papers", "these two papers", "both papers", "the two studies", "these two studies", "both studies", "the two approaches", "these two approaches", "both approaches", "the two methods", "these two methods", "both methods", "the two works", "these two works", "both works", "two articles", "both articles",
+    "energy & fuels study", "organic geochemistry paper", "the authors", "this work",
+]
+_WRITING, _YEARS = r"(?:papers?|stud(?:y|ies)|articles?)", r"(?:19|20)[0-9]{2}"
+#: Ways to begin with a paper, to name one by its year, and to speak of two of them.
+VAGUE_FORMS = [
+    rf"^\s*(?:according to|based on|in)\s+(?:the\s+)?[a-z0-9\-\s/&]+\b{_WRITING}\b", rf"\b{_YEARS}\s+(?:[a-z][a-z&\-\s]{{2,80}}\s+)?{_WRITING}\b", rf"\b(?:paper|study|article)\s+(?:from|in)\s+{_YEARS}\b",
+    r"\b(?:the|these|both)\s+two\s+(?:papers|studies|articles|approaches|methods|works)\b", r"\bpaper\s+[ab]\b",
+]
+_VAGUE = "|".join([*VAGUE, *VAGUE_FORMS])
 
 
 def vague_reference_gate(spark, d):
     q = F.lower(F.coalesce("question", F.lit("")))
-    vague = q.rlike("|".join(VAGUE))
+    vague = q.rlike(_VAGUE)
     return table(spark, d, "qa_benchmark").groupBy("benchmark_mode", (F.trim(q) != "").alias("asked"), vague.alias("vague")).agg(F.count("*").alias("n"))
 
 
@@ -242,7 +254,7 @@ SQL = {
     "excluded_documents": "select doc_type, x as excluded, count(*) as n from (select doc_type, regexp_matches(lower(coalesce(title, '') || ' ' || coalesce(source, '')), 'salts|survey_import|porphyrins') as x from documents) group by 1, 2",
     "content_hash_duplicates": "with r as (select doc_id, sha256(text) as sha from documents where text is not null), f as (select sha, min(doc_id) as first_id, count(*) as copies from r group by 1 having count(*) > 1) select doc_id, first_id, copies, sha from r join f using (sha) where doc_id <> first_id",
     "language_gate": rf"select id, not regexp_matches(q, '[\x{{4e00}}-\x{{9fff}}]') and ratio <= 0.01 as passes, round(ratio, 6) as ratio from (select id, coalesce(question, '') as q, case when length(a) = 0 then 0 else length(regexp_replace(a, '[^\x{{4e00}}-\x{{9fff}}]', '', 'g'))::double / length(a) end as ratio from (select *, regexp_replace(coalesce(answer_key, ''), '{_SP}', '', 'g') as a from qa_benchmark where language = 'en'))",
-    "vague_reference_gate": f"select benchmark_mode, trim(lower(coalesce(question, ''))) <> '' as asked, regexp_matches(lower(coalesce(question, '')), '{'|'.join(VAGUE)}') as vague, count(*) as n from qa_benchmark group by 1, 2, 3",
+    "vague_reference_gate": f"select benchmark_mode, trim(lower(coalesce(question, ''))) <> '' as asked, regexp_matches(lower(coalesce(question, '')), '{_VAGUE}') as vague, count(*) as n from qa_benchmark group by 1, 2, 3",
     "document_keys": f"with {_CH} select case when trim(coalesce(doi, '')) <> '' then 'doi:' || trim(doi) when trim(coalesce(title, '')) <> '' then 'title:' || trim(title) || '::' || coalesce(year::varchar, '') else 'file:' || coalesce(file_name, '') || '::' || coalesce(source, '') end as doc_key, count(*) as chunks, count(distinct file_name) as files from ch group by 1",
     "document_texts": f"with {_CH}, g as (select file_name, count(*) as chunks, string_agg({_n('text')}, ' ' order by coalesce(chunk_no, -1), chunk_id) as t from ch where file_name is not null group by 1) select file_name, chunks, length(t) as chars, md5(t) as digest from g",
     "suffix_counts": r"select source, lower(regexp_extract(file_name, '\.([A-Za-z0-9]+)$', 1)) as suffix, count(*) as pages, count(distinct file_name) as files from loaded_documents group by 1, 2",
