@@ -19,12 +19,13 @@ from stillhouse.llm.words import WORD
 
 @dataclass(frozen=True)
 class LeakParams:
-    """shard_words bounds a suffix array (a longer document has one of its own); item_bytes bounds the test
-    text that is sent to the tasks at once: more test text is worked off in several passes."""
+    """shard_words bounds a suffix array (a longer document has one of its own); item_bytes bounds a block of
+    test text, pass_blocks the blocks sent to the tasks at once: more test text is worked off in several passes."""
 
     least_words: int = 10
     shard_words: int = 400_000
     item_bytes: int = 8_000_000
+    pass_blocks: int = 8
 
 
 class _Vocabulary(dict):
