@@ -1,9 +1,10 @@
 """The k nearest vectors of every vector by a block matrix join.
 
-Vectors are cut into blocks; a task multiplies the int8 codes of two blocks tile by tile. Codes and known
-rounding residuals bound each distance from below and above; pairs whose lower bound passes the current limit
-are recomputed in double precision and kept in bounded heaps, which are merged per vector afterwards. The
-bounds are proven, so nothing is lost: recall is 1 by construction.
+Vectors are cut into blocks; a task holds one block and reads the others, one at a time, from the shared folder, so
+nothing is sent. Its vectors are parted into tiles along their principal axes; of another block only the vectors whose
+projections come near a tile's box meet it, by products of int8 codes. Codes and known rounding residuals bound each
+distance from below and above; pairs whose lower bound passes the current limit are recomputed in double precision and
+kept in bounded heaps. The bounds are proven, so nothing is lost: recall is 1 by construction.
 """
 
 from __future__ import annotations
@@ -11,18 +12,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stillhouse.sources.blocks import block_files, matrix, parts, read_blocks, read_part
 from stillhouse.sources.tables import stage
 
 #: Feature keys are read by the driver, so their number is checked; beyond it the call fails.
 MAX_FEATURES = 4_096
-#: Rows per block aimed at; a task holds two blocks.
-BLOCK_ROWS = 8_192
-_TILE = 1_024
+#: Rows per block at most; a task holds two blocks of no more than _BLOCK_NUMBERS numbers each.
+BLOCK_ROWS = 65_536
+_BLOCK_NUMBERS = 1 << 22
+#: Rows of a tile, and those of the other block that meet it at once.
+_TILE, _MEET = 256, 1_024
+#: Principal axes that tiles are cut along, and those that boxes are compared on; beyond _MOST_AXES features the
+#: features that vary most take their place.
+_CUTS, _AXES, _MOST_AXES = 3, 6, 512
 
 
 def plain_feature(key):
@@ -63,7 +69,10 @@ def dense_vectors(profiles: DataFrame, id_col: str, map_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, dense.shape[1]), pa.int32()), flat)], ["id", "v"])
 
     source = profiles.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(map_col), F.expr("cast(map() as map<string,double>)")).alias("m"))
-    return source.mapInArrow(run, "id bigint, v array<double>").groupBy("id").agg(F.max("v").alias("v"))
+    vectors = source.mapInArrow(run, "id bigint, v array<double>")
+    if source.groupBy("id").count().filter("count > 1").limit(1).count() == 0:
+        return vectors  # without repeated ids no vector has to be moved
+    return vectors.groupBy("id").agg(F.max("v").alias("v"))
 
 
 def _codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,54 +117,101 @@ class _Heaps:
         self.d[rows[top], rank[top]], self.i[rows[top], rank[top]] = dist[top], ids[top]
 
 
-def _tile(xa, ca, ids_a, xb, cb, ids_b, heaps_a: _Heaps, heaps_b: _Heaps | None, same: bool) -> None:
-    qa, sa, na, ra = ca
-    qb, sb, nb, rb = cb
-    for lo in range(0, len(qa), _TILE):
-        s = slice(lo, lo + _TILE)
-        for lo_b in range(lo if same else 0, len(qb), _TILE):
-            t = slice(lo_b, lo_b + _TILE)
-            prod = _product(qa[s], qb[t])
-            prod *= (-2.0 * sa[s]).astype(prod.dtype)[:, None]
+class _Block:
+    """Vectors with their ids, codes and places on the axes."""
+
+    def __init__(self, rows: pa.Table | pa.RecordBatch, axes: np.ndarray | None = None):
+        self.ids = rows.column("id").to_numpy(**({"zero_copy_only": False} if isinstance(rows, pa.RecordBatch) else {}))
+        self.x = matrix(rows.column("v"))
+        self.axes = _axes(self.x) if axes is None else axes
+        self.at = self.x @ self.axes
+        self.codes = _codes(self.x)
+        self.size = float(np.sqrt((self.x * self.x).sum(axis=1).max(initial=0.0)))
+
+
+def _axes(x: np.ndarray) -> np.ndarray:
+    """Orthonormal directions along which the rows lie far apart; any such set gives valid bounds."""
+    f = x.shape[1]
+    if f > _MOST_AXES:
+        return np.eye(f)[:, np.argsort(-x.var(axis=0), kind="stable")[:_AXES]]
+    spread = np.cov(x.T).reshape(f, f) if len(x) > 1 else np.zeros((f, f))
+    return np.linalg.eigh(spread)[1][:, ::-1][:, :_AXES] if np.isfinite(spread).all() else np.eye(f)[:, :_AXES]
+
+
+def _tiles(at: np.ndarray, rows: int = _TILE) -> list[np.ndarray]:
+    """Row numbers cut into tiles: halves, thirds and so on of equal size along one axis after the other."""
+    out, cuts = [np.arange(len(at))], min(_CUTS, at.shape[1])
+    for c in range(cuts):
+        each = max(1, round((len(at) / rows) ** (1 / cuts))) if c < cuts - 1 else 0
+        out = [part for tile in out for part in np.array_split(tile[np.argsort(at[tile, c], kind="stable")], each or max(1, -(-len(tile) // rows))) if len(part)]
+    return out
+
+
+def _search(own: _Block, other: _Block, heaps: _Heaps) -> None:
+    """Put the rows of ``other`` that are near rows of ``own`` into their heaps."""
+    qb, sb, nb, rb = other.codes
+    tiny = 1e-12 * (own.size + other.size)
+    for rows in _tiles(own.at):
+        q, s, n, r = (c[rows] for c in own.codes)
+        near = np.arange(len(other.ids))
+        reach = heaps.limit()[rows].max() * (1 + 1e-9) + tiny
+        if np.isfinite(reach):
+            low, high = own.at[rows].min(axis=0), own.at[rows].max(axis=0)
+            for a in range(own.at.shape[1]):  # the first axes leave few rows for the others
+                x = other.at[near, a]
+                near = near[(x >= low[a] - reach) & (x <= high[a] + reach)]
+            gap = np.maximum(np.maximum(low - other.at[near], other.at[near] - high), 0.0)
+            near = near[(gap * gap).sum(axis=1) <= reach * reach]
+        for lo in range(0, len(near), _MEET):
+            t = near[lo : lo + _MEET]
+            prod = _product(q, qb[t])
+            prod *= (-2.0 * s).astype(prod.dtype)[:, None]
             prod *= sb[t].astype(prod.dtype)[None, :]
-            prod += na[s].astype(prod.dtype)[:, None]
+            prod += n.astype(prod.dtype)[:, None]
             prod += nb[t].astype(prod.dtype)[None, :]
             # squared lower bound passes where distance of codes <= limit + residuals (+ rounding of float32)
-            worst = float(na[s].max() + nb[t].max()) * 4e-6 if prod.dtype == np.float32 else 1e-9
-            row_limit = heaps_a.limit()[s]
-            if np.isinf(row_limit).any() and heaps_a.radius == np.inf:
-                upper = np.sqrt(np.maximum(prod, 0) + worst) + ra[s][:, None] + rb[t].max()
-                kth = min(heaps_a.k + 1, upper.shape[1]) - 1  # one more: the row itself may be among them
-                if upper.shape[1] > heaps_a.k:
-                    row_limit = np.minimum(row_limit, np.partition(upper, kth, axis=1)[:, kth])
-            width = (row_limit + ra[s])[:, None] + rb[t][None, :] if heaps_b is None else np.maximum((row_limit + ra[s])[:, None] + rb[t][None, :], (heaps_b.limit()[t] + rb[t])[None, :] + ra[s][:, None])
-            i, j = np.nonzero(prod <= (width * width * (1 + 1e-6) + worst).astype(prod.dtype) if np.isfinite(width).all() else prod <= np.where(np.isfinite(width), width * width * (1 + 1e-6) + worst, np.inf))
-            if not len(i):
-                continue
-            i, j = i + lo, j + lo_b
-            ok = ids_a[i] < ids_b[j] if same and lo == lo_b else ids_a[i] != ids_b[j]
+            worst = float(n.max() + nb[t].max()) * 4e-6 if prod.dtype == np.float32 else 1e-9
+            limit = heaps.limit()[rows]
+            if np.isinf(limit).any() and heaps.radius == np.inf:
+                upper = np.sqrt(np.maximum(prod, 0) + worst) + r[:, None] + rb[t].max()
+                kth = min(heaps.k + 1, upper.shape[1]) - 1  # one more: the row itself may be among them
+                if upper.shape[1] > heaps.k:
+                    limit = np.minimum(limit, np.partition(upper, kth, axis=1)[:, kth])
+            width = (limit + r)[:, None] + rb[t][None, :]
+            i, j = np.nonzero(prod <= np.where(np.isfinite(width), width * width * (1 + 1e-6) + worst, np.inf))
+            i, j = rows[i], t[j]
+            ok = own.ids[i] != other.ids[j]
             i, j = i[ok], j[ok]
             for at in range(0, len(i), 200_000):
-                p, q = i[at : at + 200_000], j[at : at + 200_000]
-                d = np.sqrt(((xa[p] - xb[q]) ** 2).sum(axis=1))
-                heaps_a.push(p, ids_b[q], d)
-                if heaps_b is not None:
-                    heaps_b.push(q, ids_a[p], d)
+                p, m = i[at : at + 200_000], j[at : at + 200_000]
+                heaps.push(p, other.ids[m], np.sqrt(((own.x[p] - other.x[m]) ** 2).sum(axis=1)))
 
 
-def _matrix(v: pd.Series) -> np.ndarray:
-    return np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, 1))
+def _nearest(spark, queries: list[tuple[str, int]], vectors: list[tuple[str, int]], k: int, radius: float, block_rows: int) -> DataFrame:
+    """Each part of the queries' files against all files of the vectors. ``queries`` may be the same files; then its own
+    block comes first."""
+    schema = "id bigint, neighbour bigint, rank int, distance double"
+    if not queries or not vectors:
+        return spark.createDataFrame([], schema)
 
+    tasks = parts(queries, block_rows, 4 * spark.sparkContext.defaultParallelism)
 
-def _rows(ids: np.ndarray, heaps: _Heaps) -> pd.DataFrame:
-    r, c = np.nonzero(np.isfinite(heaps.d))
-    return pd.DataFrame({"id": ids[r], "neighbour": heaps.i[r, c], "distance": heaps.d[r, c]})
-
-
-def _merge(found: DataFrame, k: int) -> DataFrame:
-    """Heaps of all tiles, at most k rows each, merged per vector."""
-    best = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))
-    return best.select("id", F.posexplode("best").alias("rank", "x")).select("id", F.col("x.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("x.distance").alias("distance"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number in (i for batch in batches for i in batch.column("id").to_pylist()):
+            uri, lo, hi = tasks[number]
+            first = read_part(uri, lo, lo + 1, ["v"])
+            most = max(1, min(block_rows, _BLOCK_NUMBERS // max(1, len(first.column("v")[0]))))
+            for start in range(lo, hi, most):
+                own = _Block(read_part(uri, start, min(hi, start + most), ["id", "v"]))
+                heaps = _Heaps(len(own.ids), k, radius)
+                turn = next((i for i, f in enumerate(vectors) if f[0] == uri), number % len(vectors))
+                for batch in read_blocks(vectors[turn:] + vectors[:turn], most, ["id", "v"]):
+                    _search(own, _Block(batch, own.axes), heaps)
+                r, c = np.nonzero(np.isfinite(heaps.d))
+                columns = [pa.array(own.ids[r], pa.int64()), pa.array(heaps.i[r, c], pa.int64()), pa.array(c + 1, pa.int32()), pa.array(heaps.d[r, c], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "neighbour", "rank", "distance"])
+
+    return spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, schema)
 
 
 def all_neighbours(vectors: DataFrame, k: int = 5, radius: float = float("inf"), block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -163,53 +219,12 @@ def all_neighbours(vectors: DataFrame, k: int = 5, radius: float = float("inf"),
 
     ``vectors`` has unique id and v. Euclidean distance in double precision; ties go to the smaller id; equal
     vectors are neighbours at distance 0. Fewer than k others give fewer rows; an empty table gives none. Each
-    unordered pair of blocks is one task; blocks are by hash of the id, so their size follows block_rows
-    whatever the data. Each vector is sent to as many tasks as there are blocks.
+    block is one task, which reads all vectors from the shared folder; on disk they stand there once, whatever their number.
     """
-    vectors = stage(vectors)
-    blocks = max(1, -(-vectors.count() // block_rows))
-    own = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    sent = own.select("id", "v", "block", F.explode(meet).alias("t")).select("t.i", "t.j", "block", "id", "v")
-
-    def pair(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        a = rows[rows["block"] == i]
-        xa, ids_a = _matrix(a["v"]), a["id"].to_numpy(np.int64)
-        heaps_a = _Heaps(len(xa), k, radius)
-        if i == j:
-            c = _codes(xa)
-            _tile(xa, c, ids_a, xa, c, ids_a, heaps_a, heaps_a, True)
-            return _rows(ids_a, heaps_a)
-        b = rows[rows["block"] == j]
-        xb, ids_b = _matrix(b["v"]), b["id"].to_numpy(np.int64)
-        if not len(xa) or not len(xb):
-            return _rows(ids_a[:0], _Heaps(0, k, radius))
-        heaps_b = _Heaps(len(xb), k, radius)
-        _tile(xa, _codes(xa), ids_a, xb, _codes(xb), ids_b, heaps_a, heaps_b, False)
-        return pd.concat([_rows(ids_a, heaps_a), _rows(ids_b, heaps_b)])
-
-    spread = sent.repartition(blocks * (blocks + 1) // 2, "i", "j") if blocks > 1 else sent
-    return _merge(spread.groupBy("i", "j").applyInPandas(pair, "id bigint, neighbour bigint, distance double"), k)
+    files = block_files(stage(vectors))
+    return _nearest(vectors.sparkSession, files, files, k, radius, block_rows)
 
 
 def neighbours_of(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: float = float("inf"), block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Like all_neighbours for the vectors of ``queries`` only, against all of ``vectors``, block by block."""
-    vectors, queries = stage(vectors), stage(queries)
-    nb, nq = max(1, -(-vectors.count() // block_rows)), max(1, -(-queries.count() // block_rows))
-    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    q = queries.select(F.lit(0).alias("side"), at(nq).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"), "id", "v")
-    b = vectors.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("i"), at(nb).alias("j"), "id", "v")
-
-    def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        qs, bs = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        heaps = _Heaps(len(qs), k, radius)
-        ids = qs["id"].to_numpy(np.int64)
-        if len(qs) and len(bs):
-            xq, xb = _matrix(qs["v"]), _matrix(bs["v"])
-            _tile(xq, _codes(xq), ids, xb, _codes(xb), bs["id"].to_numpy(np.int64), heaps, None, False)
-        return _rows(ids, heaps)
-
-    sent = q.unionByName(b)
-    spread = sent.repartition(nb * nq, "i", "j") if nb * nq > 1 else sent
-    return _merge(spread.groupBy("i", "j").applyInPandas(pair, "id bigint, neighbour bigint, distance double"), k)
+    return _nearest(vectors.sparkSession, block_files(stage(queries)), block_files(stage(vectors)), k, radius, block_rows)

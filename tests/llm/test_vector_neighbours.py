@@ -47,3 +47,29 @@ def test_vectors_from_maps(spark):
     got = {r["id"]: list(r["v"]) for r in dense_vectors(df, "profile_id", "features").collect()}
     assert got == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 0.0], 5: [3.0, 0.0]}
     assert dense_vectors(df.limit(0), "profile_id", "features").count() == 0
+
+
+def test_no_vector_is_sent(spark):
+    """Vectors meet each other through the shared folder: a plan without any exchange, however many blocks there are."""
+    x = np.random.default_rng(2).normal(size=(200, 4))
+    plan = all_neighbours(frame(spark, range(200), x), 5, 1.0, 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan
+
+
+def test_far_rows_are_passed_over(monkeypatch):
+    import pyarrow as pa
+
+    from stillhouse.llm import vector_neighbours as V
+
+    met, product = [], V._product
+    monkeypatch.setattr(V, "_product", lambda a, b: met.append(len(a) * len(b)) or product(a, b))
+    x = np.random.default_rng(3).normal(size=(8000, 8)) * 4
+    x[1::2] = x[::2] + 0.1
+    rows = pa.table({"id": np.arange(8000), "v": list(x)})
+    block, heaps = V._Block(rows), V._Heaps(8000, 5, 2.0)
+    V._search(block, block, heaps)
+    assert sum(met) < 0.4 * 8000**2 and (heaps.d[:, 0] < 0.3).all()
+    for i in range(0, 8000, 97):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        near = [j for j in np.lexsort((np.arange(8000), d)) if j != i and d[j] <= 2.0][:5]
+        assert list(heaps.i[i][np.isfinite(heaps.d[i])]) == near
