@@ -178,7 +178,7 @@ def _search(own: _Block, other: _Block, heaps: _Heaps) -> None:
                 if upper.shape[1] > heaps.k:
                     limit = np.minimum(limit, np.partition(upper, kth, axis=1)[:, kth])
             width = (limit + r)[:, None] + rb[t][None, :]
-            i, j = np.nonzero(prod <= np.where(np.isfinite(width), width * width * (1 + 1e-6) + worst, np.inf))
+            i, j = np.divmod(np.flatnonzero(prod <= np.where(np.isfinite(width), width * width * (1 + 1e-6) + worst, np.inf)), len(t))
             i, j = rows[i], t[j]
             ok = own.ids[i] != other.ids[j]
             i, j = i[ok], j[ok]
