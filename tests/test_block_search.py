@@ -37,3 +37,12 @@ def test_odd_profiles_as_by_the_join(spark):
         seen = F.col("feature") != "f3"
         want = told(K.nearest(K.shared_feature_distance(long.filter(seen), long.filter(seen), scales, w, 0.7), 4))
         assert told(K.nearest_profiles(p, p, 4, scales, w, 0.7, lambda f: f == "f3", query_rows=50, history_rows=70)) == want and want
+
+
+def test_standard_neighbours_need_no_join(spark):
+    df = spark.createDataFrame([*ragged(250, 4, copies=101), (1000, {}), (1050, {"alone": 1.0})], SCHEMA)
+    (p,) = K.staged_profiles([df])
+    found = K.standard_neighbours(p, 5)
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    told = lambda n: {(r["query_id"], r["id"], r["rank"], round(r["distance"], 5)) for r in n.collect()}
+    assert told(found) == told(K.standard_neighbours(K.Profiles(None, p.long()), 5))
