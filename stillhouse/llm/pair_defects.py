@@ -30,12 +30,12 @@ DEFECTS = ["empty", "truncated", "refusal", "copied_question", "wrong_language"]
 
 @dataclass(frozen=True)
 class DefectParams:
-    """sample_rows bounds the pairs that training examples are made from, each language with up to language_rows more;
-    pool_rows the answers lent for swaps; most_languages the languages told apart (the most frequent ones).
+    """Training examples are made from all pairs, unless sample_rows bounds them; then each language has up to language_rows more, of
+    the most_languages most frequent ones. pool_rows bounds the answers lent for swaps.
     sound_weight: how much more often than in the examples a pair is taken to be sound when thresholds are set.
     doubtful: probability of a defect from which an untouched pair isn't taken as sound."""
 
-    sample_rows: int = 1_600
+    sample_rows: int | None = None
     language_rows: int = 120
     pool_rows: int = 300
     most_languages: int = 64
@@ -76,6 +76,11 @@ MEASURES = ["size", "ending", "in_question", "of_question", "new", "new_count",
 WIDTH = GRAMS + _BINS * len(MEASURES)
 _LETTER_GRAMS = 1 << 14
 GRAM_WEIGHT = 0.3
+#: Up to so many examples the fits take turns on two partitions; beyond them each has all cores.
+_FEW_EXAMPLES = 60_000
+#: Pairs per task when examples are made of them, and the thresholds that are tried.
+_TASK_PAIRS = 2_000
+_THRESHOLDS = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99])
 
 
 def _letter_grams(text: str) -> np.ndarray:
@@ -281,15 +286,17 @@ def _examples(params: DefectParams, pool: list[tuple[str, str, str, list]], topi
 
 
 def _fit(rows: DataFrame, iterations: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts; the five fits run side by side on the bounded examples."""
+    """Weights and intercepts; on few examples the five fits run side by side."""
     vector = F.udf(lambda at, x: Vectors.sparse(WIDTH, at, x), VectorUDT())
-    vectors = rows.select(vector("at", "x").alias("features"), "y").coalesce(2).cache()
+    few = rows.count() <= _FEW_EXAMPLES
+    vectors = rows.select(vector("at", "x").alias("features"), "y")
+    vectors = (vectors.coalesce(2) if few else vectors).cache()
     vectors.count()
 
     def one(j: int):
         return LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False).fit(vectors.select("features", F.col("y")[j].alias("label")))
 
-    with ThreadPoolExecutor(3) as together:
+    with ThreadPoolExecutor(3 if few else 1) as together:
         models = list(together.map(one, range(len(DEFECTS))))
     vectors.unpersist()
     return np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models])
@@ -318,9 +325,12 @@ def _scorer(shared):
     return run
 
 
-def _sample(pairs: DataFrame, params: DefectParams) -> DataFrame:
-    """A bounded sample by hash of the id, rare languages with a larger share."""
+def _taught(pairs: DataFrame, params: DefectParams) -> DataFrame:
+    """The pairs that examples are made from: all, or where sample_rows is given so many by hash of the id, rare languages with a
+    larger share."""
     named = pairs.withColumn("language", F.lower(F.trim("language"))) if "language" in pairs.columns else pairs.withColumn("language", F.lit(None).cast("string"))
+    if params.sample_rows is None:
+        return named.select("id", "question", "answer_key", "key_points", "language")
     sizes = {r["language"]: r["count"] for r in named.groupBy("language").count().orderBy(F.desc("count"), "language").limit(params.most_languages).collect()}
     total = max(1, sum(sizes.values()))
     share = F.lit(min(1.0, params.sample_rows / total))
@@ -332,26 +342,50 @@ def _sample(pairs: DataFrame, params: DefectParams) -> DataFrame:
 
 
 def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        counts: dict[str, np.ndarray] = {}
         for k, q in zip(batch.column("language").to_pylist(), batch.column("question").to_pylist()):
             if k and q:
                 counts.setdefault(k, np.zeros(_LETTER_GRAMS))
                 counts[k] += np.bincount(_letter_grams(q), minlength=_LETTER_GRAMS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.float64()))], ["language", "n"])
+    for k, c in counts.items():
+        at = np.flatnonzero(c)
+        yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at])], ["language", "at", "n"])
 
 
-def learn_languages(sample: DataFrame) -> Languages:
-    """Letter groups of the questions of a bounded sample, by the language that stands beside them."""
+def learn_languages(pairs: DataFrame) -> Languages:
+    """Letter groups of the questions of all rows, by the language that stands beside them."""
     counts: dict[str, np.ndarray] = {}
-    for r in sample.select("language", "question").coalesce(2).mapInArrow(_count_letters, "language string, n array<double>").toLocalIterator():
-        counts[r["language"]] = counts.get(r["language"], np.zeros(_LETTER_GRAMS)) + np.array(r["n"])
+    each = pairs.select("language", "question").mapInArrow(_count_letters, "language string, at int, n double").groupBy("language", "at").agg(F.sum("n").alias("n"))
+    for r in each.groupBy("language").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")).toLocalIterator():  # one row per language
+        counts[r["language"]] = np.zeros(_LETTER_GRAMS)
+        counts[r["language"]][r["at"]] = r["n"]
     return Languages(counts)
 
 
+def _rater(shared, sound_weight: float):
+    """One row per partition: by defect and threshold the weight of the hits and of the right ones among them, then that of all cases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(DEFECTS), 2 * len(_THRESHOLDS) + 1))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = _probabilities(list(zip(batch.column("at").to_pylist(), batch.column("x").to_pylist())), *shared.value)
+            y = np.array(batch.column("y").to_pylist())
+            weight = np.where(y.sum(axis=1) > 0, 1.0, sound_weight)
+            for j in range(len(DEFECTS)):
+                hit = (p[:, j, None] >= _THRESHOLDS) * weight[:, None]
+                total[j] += np.concatenate([hit.sum(axis=0), hit[y[:, j] > 0].sum(axis=0), [(weight * y[:, j]).sum()]])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n"])
+
+    return run
+
+
 def train(pairs: DataFrame, params: DefectParams = DefectParams()) -> tuple[np.ndarray, np.ndarray, np.ndarray, Languages]:
-    """(weights, intercepts, thresholds, languages) of the classifier, fitted on a bounded sample of ``pairs``."""
-    sample = stage(_sample(pairs, params).repartition(6))
+    """(weights, intercepts, thresholds, languages) of the classifier, fitted on examples of all ``pairs``."""
+    taught = _taught(pairs, params)
+    sample = stage(taught.repartition(max(6, -(-taught.count() // _TASK_PAIRS))))
     languages = learn_languages(sample)
     shared = pairs.sparkSession.sparkContext.broadcast(languages)
     lent = sample.filter("length(answer_key) > 80 and question is not null").select("question", "answer_key", "key_points").orderBy(F.xxhash64("answer_key", F.lit(params.seed))).limit(8 * params.pool_rows).collect()
@@ -376,29 +410,23 @@ def train(pairs: DataFrame, params: DefectParams = DefectParams()) -> tuple[np.n
             p = _probabilities(list(zip(batch.column("at").to_pylist(), batch.column("x").to_pylist())), *first.value)
             yield pa.RecordBatch.from_arrays([batch.column("pair").filter(pa.array(p.max(axis=1, initial=0) >= params.doubtful))], ["pair"])
 
-    left_out = made.filter("own").mapInArrow(doubtful, "pair string")  # bounded by the sample
+    left_out = made.filter("own").mapInArrow(doubtful, "pair string")  # ids only
     clean = stage(made.join(F.broadcast(left_out), "pair", "left_anti"))
+    if clean.filter("fold <> 0").limit(1).count() == 0:  # all look defective: nothing tells which do
+        clean = made
     w, b = _fit(clean.filter("fold <> 0"), params.iterations, params.penalty)
     last = pairs.sparkSession.sparkContext.broadcast((w, b))
 
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = _probabilities(list(zip(batch.column("at").to_pylist(), batch.column("x").to_pylist())), *last.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(p), pa.list_(pa.float64())), batch.column("y")], ["p", "y"])
-
-    held = clean.filter("fold = 0").mapInArrow(rate, "p array<double>, y array<double>").toPandas()  # a fifth of the bounded examples, ten numbers each
     least = np.full(len(DEFECTS), 0.5)
-    if len(held):
-        p, y = np.stack(held["p"].to_list()), np.stack(held["y"].to_list())
-        weight = np.where(y.sum(axis=1) > 0, 1.0, params.sound_weight)
-        for j in range(len(DEFECTS)):
-            best = -1.0
-            for t in [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99]:
-                hit = p[:, j] >= t
-                tp = (weight * (hit & (y[:, j] > 0))).sum()
-                f1 = 2 * tp / max(1.0, (weight * hit).sum() + (weight * y[:, j]).sum())
-                if f1 > best + 1e-9 or abs(f1 - best) <= 1e-9 and abs(t - 0.5) < abs(least[j] - 0.5):
-                    best, least[j] = f1, t
+    seen = clean.filter("fold = 0").mapInArrow(_rater(last, params.sound_weight), "n array<double>")  # one row per partition
+    total = sum((np.array(r["n"]) for r in seen.collect()), np.zeros(len(DEFECTS) * (2 * len(_THRESHOLDS) + 1))).reshape(len(DEFECTS), -1)
+    for j in range(len(DEFECTS)):
+        best = -1.0
+        for i, t in enumerate(_THRESHOLDS):
+            hits, right, cases = total[j, i], total[j, len(_THRESHOLDS) + i], total[j, -1]
+            f1 = 2 * right / max(1.0, hits + cases)
+            if cases and (f1 > best + 1e-9 or abs(f1 - best) <= 1e-9 and abs(t - 0.5) < abs(least[j] - 0.5)):
+                best, least[j] = f1, t
     return w, b, least, languages
 
 

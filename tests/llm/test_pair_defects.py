@@ -59,3 +59,16 @@ def test_made_defects_are_found(spark):
 
 def test_no_pairs(spark):
     assert defects(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_all_pairs_teach(spark):
+    """Every pair takes part in the fit: a word that only rows of the last hundredth have gets a weight."""
+    from stillhouse.llm.pair_defects import _bucket, _taught
+
+    sentence = "The resin of sample {} was dissolved in warm toluene and then weighed again by hand."
+    rows = [(f"r{i}", f"What was done with sample {i} and why?", sentence.format(i) + (" It held quuxite." if i >= 4000 else ""), None) for i in range(4040)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert _taught(df, DefectParams()).count() == len(rows)
+    assert learn_languages(df.withColumn("language", F.when(F.col("id") == "r4039", "rare").otherwise("en"))).names == ["en", "rare"]
+    w, _, _, _ = train(df, DefectParams(first_iterations=2, iterations=2))
+    assert np.abs(w[:, _bucket("w", "quuxite")]).max() > 0
