@@ -46,3 +46,7 @@ def test_standard_neighbours_need_no_join(spark):
     assert "Join" not in plan(found) and "Exchange" not in plan(found)
     told = lambda n: {(r["query_id"], r["id"], r["rank"], round(r["distance"], 5)) for r in n.collect()}
     assert told(found) == told(K.standard_neighbours(K.Profiles(None, p.long()), 5))
+
+
+def test_leave_one_out_sends_no_profile(spark, small):
+    assert "FlatMapCoGroups" not in plan(P.leave_one_out(spark, small))
