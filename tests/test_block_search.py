@@ -50,3 +50,11 @@ def test_standard_neighbours_need_no_join(spark):
 
 def test_leave_one_out_sends_no_profile(spark, small):
     assert "FlatMapCoGroups" not in plan(P.leave_one_out(spark, small))
+
+
+def test_held_out_profiles_are_staged_once(spark, small, monkeypatch):
+    """Five scenarios compare the same two staged tables; nothing is grouped by blocks of profiles."""
+    staged = []
+    monkeypatch.setattr(K, "stage", lambda df, keep=K.stage: staged.append(df.columns) or keep(df))
+    text = plan(P.holdout_grid(spark, small))
+    assert len([c for c in staged if "x" in c]) == 2 and "FlatMapCoGroups" not in text
