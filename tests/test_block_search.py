@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from stillhouse.operators import block_search as B
 from stillhouse.operators import knn as K
 from stillhouse.plans import knn as P
 
@@ -58,3 +59,16 @@ def test_held_out_profiles_are_staged_once(spark, small, monkeypatch):
     monkeypatch.setattr(K, "stage", lambda df, keep=K.stage: staged.append(df.columns) or keep(df))
     text = plan(P.holdout_grid(spark, small))
     assert len([c for c in staged if "x" in c]) == 2 and "FlatMapCoGroups" not in text
+
+
+def test_rows_of_a_crowd_are_compared_as_one():
+    rng = np.random.default_rng(6)
+    z = np.repeat(rng.normal(size=(50, 6)) * 4, 30, axis=0) + rng.normal(size=(1500, 6)) * 0.01
+    order, number = B.crowds(z[rng.permutation(1500)])
+    assert sorted(order) == list(range(1500)) and len(set(number)) <= 60
+
+
+def test_scenarios_are_searched_in_one_pass(spark, small):
+    """No neighbour is joined with its values, and history is read in one stage for all five scenarios."""
+    text = plan(P.holdout_grid(spark, small))
+    assert "Join" not in text and text.count("MapInArrow") == 1
