@@ -70,5 +70,6 @@ def test_rows_of_a_crowd_are_compared_as_one():
 
 def test_scenarios_are_searched_in_one_pass(spark, small):
     """No neighbour is joined with its values, and history is read in one stage for all five scenarios."""
-    text = plan(P.holdout_grid(spark, small))
-    assert "Join" not in text and text.count("MapInArrow") == 1
+    for query in (P.holdout_grid, P.leave_one_out):
+        text = plan(query(spark, small))
+        assert "Join" not in text and text.count("MapInArrow") == 1
