@@ -61,6 +61,23 @@ def test_held_out_profiles_are_staged_once(spark, small, monkeypatch):
     assert len([c for c in staged if "x" in c]) == 2 and "FlatMapCoGroups" not in text
 
 
+def crowded(n, seed):
+    """Profiles in crowds of up to forty, some alone; some lack a channel."""
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(n // 12, 12)) * 4
+    near = middles[rng.integers(0, len(middles), n) ** 2 // len(middles)] + rng.normal(size=(n, 12)) * 0.05
+    return [(i, {f"f{j}": float(near[i, j]) for j in range(12) if i % 5 or j < 8}) for i in range(n)]
+
+
+def test_crowds_hide_no_neighbour_and_show_none_twice(spark):
+    df = spark.createDataFrame(crowded(900, 5), SCHEMA)
+    (p,) = K.staged_profiles([df])
+    told = lambda n: sorted((r["query_id"], r["id"], r["rank"], round(r["distance"], 8)) for r in n.collect())
+    want = told(K.nearest(K.shared_feature_distance(p.long(), p.long(), K.feature_scales(p.long(), True)), 4))
+    assert told(K.nearest_profiles(p, p, 4, K.feature_scales(p.long(), True), query_rows=400, history_rows=300)) == want
+    assert told(K.standard_neighbours(p, 5)) == told(K.standard_neighbours(K.Profiles(None, p.long()), 5))
+
+
 def test_rows_of_a_crowd_are_compared_as_one():
     rng = np.random.default_rng(6)
     z = np.repeat(rng.normal(size=(50, 6)) * 4, 30, axis=0) + rng.normal(size=(1500, 6)) * 0.01
