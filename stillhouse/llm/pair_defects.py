@@ -12,16 +12,16 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from stillhouse.sources.tables import stage
 
@@ -69,6 +69,7 @@ _TOKEN = re.compile(r"[一-鿿]|[^\W_]+")
 _TAG = re.compile(r"<[^<>]{0,40}>")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _PLAIN = re.compile(r"[^\W\d_]+")
+_DIGIT, _APART = re.compile(r"\d"), re.compile(r"[\W_]+")
 
 GRAMS = 1 << 15
 _BINS = 13  # 11 steps from 0 to 1 with the ends apart, one for "not given", and the value itself
@@ -76,10 +77,12 @@ MEASURES = ["size", "ending", "in_question", "of_question", "new", "new_count",
 WIDTH = GRAMS + _BINS * len(MEASURES)
 _LETTER_GRAMS = 1 << 14
 GRAM_WEIGHT = 0.3
-#: Up to so many examples the fits take turns on two partitions; beyond them each has all cores.
+#: Up to so many examples the fits read two cached partitions; beyond them each has all cores.
 _FEW_EXAMPLES = 60_000
 #: Pairs per task when examples are made of them, and the thresholds that are tried.
 _TASK_PAIRS = 2_000
+#: Pairs whose examples a task holds at once, and questions that it remembers.
+_HELD_PAIRS, _HELD_QUESTIONS = 64, 256
 _THRESHOLDS = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.93, 0.95, 0.97, 0.98, 0.99])
 
 
@@ -99,6 +102,7 @@ class Languages:
         self.names = sorted(counts)
         rows = np.array([counts[k] for k in self.names]).reshape(len(self.names), _LETTER_GRAMS)
         self.table = np.log((rows + 0.05) / (rows.sum(axis=1, keepdims=True) + 0.05 * _LETTER_GRAMS))
+        self.held: dict[str, tuple] = {}
 
     def weigh(self, text: str) -> np.ndarray:
         """Mean log probability per letter group, by language (zeros for a text without letters)."""
@@ -110,9 +114,18 @@ class Languages:
         x = np.exp((mean - mean.max()) * min(groups, 40)) if len(mean) else mean
         return x / x.sum() if len(x) else x
 
+    def asked(self, question: str) -> tuple[set[str], set[tuple[str, ...]], np.ndarray, int, np.ndarray]:
+        """What each answer to a question is compared with: its words, their threes, and what language it is in."""
+        if question not in self.held:
+            if len(self.held) >= _HELD_QUESTIONS:
+                self.held.clear()
+            words, mean, size = _TOKEN.findall(question.lower()), self.weigh(question), len(_alnum(question))
+            self.held[question] = set(words), set(zip(words, words[1:], words[2:])), mean, size, self.shares(mean, size)
+        return self.held[question]
+
 
 def _alnum(text: str) -> str:
-    return "".join(ch for ch in text.lower() if ch.isalnum())
+    return _APART.sub("", text.lower())
 
 
 def _point_left(whole: str, end: str, points: list[str]) -> float | None:
@@ -152,20 +165,18 @@ def measures(question: str, answer: str, points: list[str | None] | None, langua
     """Raw measures of a pair, each from 0 to 1 or None where it can't be taken."""
     bare = _TAG.sub(" ", answer)
     text = bare.strip()
-    words, asked = _TOKEN.findall(bare.lower()), _TOKEN.findall(question.lower())
-    ga, gq = ([tuple(x[i : i + 3]) for i in range(len(x) - 2)] for x in (words, asked))
-    sa, sq = set(ga), set(gq)
-    known = set(asked)
+    words = _TOKEN.findall(bare.lower())
+    known, sq, mq, nq, pq = languages.asked(question)
+    ga = list(zip(words, words[1:], words[2:]))
+    sa = set(ga)
     new = sum(w not in known for w in words)
     sentences = [_alnum(s) for s in _SENTENCE.split(text) if s.strip()]
     keys = [k for k in (_alnum(p) for p in points or [] if p) if k]
     whole = _alnum(text)
-    mq, ma = languages.weigh(question), languages.weigh(text)
-    nq, na = len(_alnum(question)), len(whole)
+    ma, na = languages.weigh(text), len(whole)
     other, gap = None, None
     if len(mq) and nq > 5 and na > 5:
-        pq, pa_ = languages.shares(mq, nq), languages.shares(ma, na)
-        other = 1 - float(pq @ pa_)
+        other = 1 - float(pq @ languages.shares(ma, na))
         gap = min(1.0, float(ma.max() - ma[mq.argmax()]) / 2)
     mean = sum(map(len, sentences)) / len(sentences) if sentences else 0
     return [
@@ -175,8 +186,11 @@ def measures(question: str, answer: str, points: list[str | None] | None, langua
     ]
 
 
+_KIND = {kind: zlib.crc32(f"{kind}|".encode()) for kind in ("w", "b", "first", "last", "last two", "all", "only")}
+
+
 def _bucket(kind: str, what: str) -> int:
-    return zlib.crc32(f"{kind}|{what}".encode("utf-8", "surrogatepass")) % GRAMS
+    return zlib.crc32(what.encode("utf-8", "surrogatepass"), _KIND[kind]) % GRAMS
 
 
 def features(question: str | None, answer: str | None, points: list[str | None] | None, languages: Languages) -> dict[int, float]:
@@ -184,7 +198,7 @@ def features(question: str | None, answer: str | None, points: list[str | None]
     as empty."""
     q, a = question or "", answer or ""
     out: dict[int, float] = {}
-    words = [re.sub(r"\d", "0", w) for w in _TOKEN.findall(_TAG.sub(" ", a).lower())]
+    words = _TOKEN.findall(_DIGIT.sub("0", _TAG.sub(" ", a).lower()))
     for w in words:
         out[_bucket("w", w)] = GRAM_WEIGHT
     for x, y in zip(words, words[1:]):
@@ -237,11 +251,12 @@ def _copied(rng: random.Random, q: str) -> str:
 
 
 def _examples(params: DefectParams, pool: list[tuple[str, str, str, list]], topics: list[str], shared):
-    """Training pairs made from sound-looking ones: indices, values, labels, fold, whether untouched."""
+    """Training pairs made from sound-looking ones: features as a sparse vector is stored, labels, fold, whether untouched. No more than
+    the examples of _HELD_PAIRS pairs are held at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages = shared.value
-        for batch in batches:
+        for batch in (b.slice(at, _HELD_PAIRS) for b in batches for at in range(0, b.num_rows, _HELD_PAIRS)):
             rows = []
             for no, q, a, p in zip(*[batch.column(c).to_pylist() for c in ("id", "question", "answer_key", "key_points")]):
                 rng = random.Random(zlib.crc32(f"{params.seed}|{no}".encode()))
@@ -253,7 +268,8 @@ def _examples(params: DefectParams, pool: list[tuple[str, str, str, list]], topi
 
                 def add(answer, label, points=p, own=False, q=q, fold=fold, draw=draw, other_points=other_points):
                     x = features(q, answer, points if own or draw > 0.4 else None if draw < 0.2 else other_points, languages)
-                    rows.append((sorted(x), [x[i] for i in sorted(x)], [float(d == label) for d in DEFECTS], fold, own, str(no)))
+                    at = sorted(x)
+                    rows.append(({"type": 0, "size": WIDTH, "indices": at, "values": [x[i] for i in at]}, [float(d == label) for d in DEFECTS], fold, own, str(no)))
 
                 add(a, None, own=True)
                 add(rng.choice(_EMPTIES), "empty")
@@ -278,35 +294,45 @@ def _examples(params: DefectParams, pool: list[tuple[str, str, str, list]], topi
                         _, question, x, its_points = rng.choice(other)
                         add(x, None, q=question, points=its_points)  # the same answer is sound beside its own question
                         add(x, "wrong_language", points=[t for t in _SENTENCE.split(x) if t.strip()] if own_points else p if rng.random() < 0.6 else None)
-            cols = list(zip(*rows)) or [[]] * 6
-            types = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], ["at", "x", "y", "fold", "own", "pair"])
+            vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+            types = [vector, pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["features", "y", "fold", "own", "pair"])
 
     return run
 
 
-def _fit(rows: DataFrame, iterations: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and intercepts; on few examples the five fits run side by side."""
-    vector = F.udf(lambda at, x: Vectors.sparse(WIDTH, at, x), VectorUDT())
-    few = rows.count() <= _FEW_EXAMPLES
-    vectors = rows.select(vector("at", "x").alias("features"), "y")
-    vectors = (vectors.coalesce(2) if few else vectors).cache()
-    vectors.count()
+def _fit(staged: DataFrame, iterations: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts from staged examples but those of fold 0.
 
-    def one(j: int):
-        return LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False).fit(vectors.select("features", F.col("y")[j].alias("label")))
-
-    with ThreadPoolExecutor(3 if few else 1) as together:
-        models = list(together.map(one, range(len(DEFECTS))))
-    vectors.unpersist()
+    The files are read as what they hold, sparse vectors. Many aren't cached besides what a fit itself keeps of them.
+    """
+    schema = StructType([StructField("features", VectorUDT()), StructField("y", ArrayType(DoubleType())), StructField("fold", IntegerType())])
+    vectors = staged.sparkSession.read.schema(schema).parquet(*staged.inputFiles()).filter("fold <> 0").select("features", "y")
+    few = vectors.select("y").count() <= _FEW_EXAMPLES
+    if few:
+        vectors = vectors.coalesce(2).cache()
+        vectors.count()
+
+    fit = LogisticRegression(maxIter=iterations, regParam=penalty, standardization=False).fit
+    models = [fit(vectors.select("features", F.col("y")[j].alias("label"))) for j in range(len(DEFECTS))]  # side by side they swell the driver
+    if few:
+        vectors.unpersist()
     return np.array([m.coefficients.toArray() for m in models]), np.array([m.intercept for m in models])
 
 
-def _probabilities(rows: list[tuple[list[int], list[float]]], w: np.ndarray, b: np.ndarray) -> np.ndarray:
-    z = np.array([w[:, at] @ np.asarray(x) for at, x in rows]).reshape(len(rows), len(DEFECTS)) + b
+def _probabilities(rows: Iterable[tuple[np.ndarray, np.ndarray]], w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    z = np.array([w[:, at] @ x for at, x in rows]).reshape(-1, len(DEFECTS)) + b
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
+def _stored(features: pa.StructArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of each stored vector, without a copy."""
+    at, x = features.field("indices"), features.field("values")
+    ends, places, values = at.offsets.to_numpy(), at.values.to_numpy(), x.values.to_numpy()
+    for lo, hi in zip(ends[:-1], ends[1:]):
+        yield places[lo:hi], values[lo:hi]
+
+
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b, least, languages = shared.value
@@ -314,7 +340,7 @@ def _scorer(shared):
             out: list[tuple] = []
             for no, q, a, k in zip(*[batch.column(c).to_pylist() for c in ("id", "question", "answer_key", "key_points")]):
                 x = features(q, a, k, languages)
-                p = _probabilities([(list(x), list(x.values()))], w, b)[0]
+                p = _probabilities([(list(x), np.array(list(x.values())))], w, b)[0]
                 over = [j for j in range(len(DEFECTS)) if p[j] >= least[j]]
                 if over:  # one defect a pair: the one that stands furthest above its threshold
                     j = max(over, key=lambda j: np.log(p[j] / (1 - p[j] + 1e-12)) - np.log(least[j] / (1 - least[j])))
@@ -371,7 +397,7 @@ def _rater(shared, sound_weight: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = _probabilities(list(zip(batch.column("at").to_pylist(), batch.column("x").to_pylist())), *shared.value)
+            p = _probabilities(_stored(batch.column("features")), *shared.value)
             y = np.array(batch.column("y").to_pylist())
             weight = np.where(y.sum(axis=1) > 0, 1.0, sound_weight)
             for j in range(len(DEFECTS)):
@@ -399,22 +425,22 @@ def train(pairs: DataFrame, params: DefectParams = DefectParams()) -> tuple[np.n
     pool = [x for xs in by.values() for x in xs[:most]]
     rng = random.Random(params.seed)
     topics = [" ".join(w[at : at + rng.randint(1, 2)]) for w in (_TOKEN.findall(r[1]) for r in lent[:200]) if len(w) > 3 for at in [rng.randrange(len(w) - 2)]]
-    made = stage(sample.mapInArrow(_examples(params, pool, topics, shared), "at array<int>, x array<double>, y array<double>, fold int, own boolean, pair string"))
+    made = stage(sample.mapInArrow(_examples(params, pool, topics, shared), "features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>, y array<double>, fold int, own boolean, pair string"))
     if made.limit(1).count() == 0:
         return np.zeros((len(DEFECTS), WIDTH)), np.full(len(DEFECTS), -50.0), np.ones(len(DEFECTS)), languages
-    first = pairs.sparkSession.sparkContext.broadcast(_fit(made.filter("fold <> 0"), params.first_iterations, params.first_penalty))
+    first = pairs.sparkSession.sparkContext.broadcast(_fit(made, params.first_iterations, params.first_penalty))
 
     # pairs that look defective as they stand are left out of the second fit, with all that was made of them
     def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = _probabilities(list(zip(batch.column("at").to_pylist(), batch.column("x").to_pylist())), *first.value)
+            p = _probabilities(_stored(batch.column("features")), *first.value)
             yield pa.RecordBatch.from_arrays([batch.column("pair").filter(pa.array(p.max(axis=1, initial=0) >= params.doubtful))], ["pair"])
 
     left_out = made.filter("own").mapInArrow(doubtful, "pair string")  # ids only
     clean = stage(made.join(F.broadcast(left_out), "pair", "left_anti"))
     if clean.filter("fold <> 0").limit(1).count() == 0:  # all look defective: nothing tells which do
         clean = made
-    w, b = _fit(clean.filter("fold <> 0"), params.iterations, params.penalty)
+    w, b = _fit(clean, params.iterations, params.penalty)
     last = pairs.sparkSession.sparkContext.broadcast((w, b))
 
     least = np.full(len(DEFECTS), 0.5)

@@ -72,3 +72,22 @@ def test_all_pairs_teach(spark):
     assert learn_languages(df.withColumn("language", F.when(F.col("id") == "r4039", "rare").otherwise("en"))).names == ["en", "rare"]
     w, _, _, _ = train(df, DefectParams(first_iterations=2, iterations=2))
     assert np.abs(w[:, _bucket("w", "quuxite")]).max() > 0
+
+
+def test_tasks_hold_few_examples():
+    """However many pairs come in one batch, only the examples of a few of them are held at once, and each says the same as made alone."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from stillhouse.llm import pair_defects
+
+    sentence = "The resin of sample {} was dissolved in warm toluene and then weighed again by hand. It held {} % sulfur."
+    rows = [(f"r{i}", f"What was done with sample {i % 300} and why?", sentence.format(i, i % 9), [f"held {i % 9} % sulfur"]) for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["id", "question", "answer_key", "key_points"])
+    languages = Languages({"en": np.ones(pair_defects._LETTER_GRAMS)})
+    run = pair_defects._examples(DefectParams(), [], ["resin"], SimpleNamespace(value=languages))
+    made = list(run([batch]))
+    assert max(m.num_rows for m in made) < 20 * 64 and len(languages.held) <= 256
+    alone = [m for i in range(batch.num_rows) for m in run([batch.slice(i, 1)])]
+    assert pa.Table.from_batches(made).to_pylist() == pa.Table.from_batches(alone).to_pylist()
