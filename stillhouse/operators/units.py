@@ -10,16 +10,21 @@ common unit and go to review, as do rows whose stated other unit the forest cont
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from stillhouse.functions.measures import COMMON_UNIT, DIMENSION_OF_UNIT, TO_COMMON, common_value, parse_observations
-from stillhouse.sources.tables import stage
+from stillhouse.sources.tables import shared_dir, stage
 
 
 @dataclass(frozen=True)
@@ -79,9 +84,9 @@ def _nominal(column: Column, name: str, values: int) -> Column:
     return column.alias(name, metadata={"ml_attr": {"type": "nominal", "name": name, "vals": [str(i) for i in range(values)]}})
 
 
-def _features(rows: DataFrame, params: UnitParams) -> DataFrame:
-    """``rows`` (with the constants) and the column ``features``: where the number stands on each scale of its kind (0 and 1 are
-    the ends of the property's range), its magnitude, its form, and the hashed categories."""
+def _features(rows: DataFrame, params: UnitParams) -> tuple[DataFrame, list[str]]:
+    """``rows`` (with the constants) and columns that the forest sees, and their names: where the number stands on each scale of its
+    kind (0 and 1 are the ends of the property's range), its magnitude, its form, and the hashed categories."""
     log = lambda x: F.log10(F.greatest(x, F.lit(1e-12)))
 
     def place(j: int) -> Column:
@@ -97,10 +102,78 @@ def _features(rows: DataFrame, params: UnitParams) -> DataFrame:
     }
     hashed = [_nominal(F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce(c, F.lit(""))))), F.lit(params.buckets)).cast("double"), f"h_{c}", params.buckets) for c in _CATEGORIES]
     wide = rows.select("*", *[x.alias(n) for n, x in numeric.items()], *hashed, _nominal(F.col("c_kind"), "h_kind", len(_KINDS)))
-    names = [*numeric, *[f"h_{c}" for c in _CATEGORIES], "h_kind"]
+    return wide, [*numeric, *[f"h_{c}" for c in _CATEGORIES], "h_kind"]
+
+
+def _assembled(rows: DataFrame, params: UnitParams) -> DataFrame:
+    wide, names = _features(rows, params)
     return VectorAssembler(inputCols=names, outputCol="features").transform(wide).drop(*names)
 
 
+class Forest:
+    """A fitted forest as arrays, with one entry per node of all trees; a leaf leads to itself."""
+
+    def __init__(self, model: RandomForestClassificationModel, spark: SparkSession):
+        path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+        model.save(path)
+        nodes = [(r["treeID"], r["nodeData"]) for r in spark.read.parquet(f"{path}/data").collect()]  # trees x 2^(depth + 1) at most
+        nodes.sort(key=lambda x: (x[0], x[1]["id"]))
+        first: dict[int, int] = {}
+        for i, (tree, _) in enumerate(nodes):
+            first.setdefault(tree, i)
+        inner = np.array([n["leftChild"] >= 0 for _, n in nodes])
+        self.roots, self.depth = [first[t] for t in sorted(first)], model.getMaxDepth()
+        self.left, self.right = (np.array([first[t] + n[c] if n["leftChild"] >= 0 else i for i, (t, n) in enumerate(nodes)]) for c in ("leftChild", "rightChild"))
+        splits = [n["split"] for _, n in nodes]
+        self.feature = np.where(inner, [s["featureIndex"] for s in splits], 0)
+        self.nominal = inner & np.array([s["numCategories"] >= 0 for s in splits])
+        self.threshold = np.array([s["leftCategoriesOrThreshold"][0] if i and not c else 0.0 for s, i, c in zip(splits, inner, self.nominal)])
+        self.lefts = np.zeros((len(nodes), max([1, *[s["numCategories"] for s in splits]])), bool)
+        for i in np.flatnonzero(self.nominal):
+            self.lefts[i, np.array(splits[i]["leftCategoriesOrThreshold"], int)] = True
+        stats = np.array([n["impurityStats"] for _, n in nodes])
+        total = stats.sum(axis=1, keepdims=True)
+        self.share = np.divide(stats, total, out=np.zeros_like(stats), where=total > 0)
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """One row per row of ``x``, one column per class."""
+        votes, start, flat = np.zeros((len(x), self.share.shape[1])), np.arange(len(x)) * x.shape[1], np.ascontiguousarray(x).ravel()
+        for root in self.roots:
+            node = np.full(len(x), root)
+            for _ in range(self.depth):
+                value = flat[start + self.feature[node]]
+                left = value <= self.threshold[node]
+                named = np.flatnonzero(self.nominal[node])
+                left[named] = self.lefts[node[named], value[named].astype(int)]
+                node = np.where(left, self.left[node], self.right[node])
+            votes += self.share[node]
+        return votes / votes.sum(axis=1, keepdims=True)
+
+
+def _scored(rows: DataFrame, params: UnitParams, model: RandomForestClassificationModel, keep: list[str]) -> DataFrame:
+    """``keep`` of ``rows`` (with the constants) and what ``_choice`` says of them: ``slot``, the scale's place among those of the row's
+    kind, and ``sure``. The trees are walked in tasks, a batch of rows at a time."""
+    wide, names = _features(rows, params)
+    shared = rows.sparkSession.sparkContext.broadcast(Forest(model, rows.sparkSession))
+    classes = {p: [_CLASSES.index(u) for u in _SCALES[DIMENSION_OF_UNIT[c]]] for p, c in COMMON_UNIT.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared.value
+        for batch in batches:
+            property_ = batch.column("property").dictionary_encode()
+            own = [classes[p] for p in property_.dictionary.to_pylist()]
+            at = np.array([[*x, *[-1] * (_SLOTS - len(x))] for x in own], dtype=int).reshape(-1, _SLOTS)[property_.indices.to_numpy()]
+            p = forest.probabilities(np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1))
+            p = np.concatenate([p, np.zeros((len(p), max(1, len(_CLASSES) - p.shape[1] + 1)))], axis=1)  # classes that no example has, and -1
+            each = np.take_along_axis(p, at, axis=1)
+            top, total = each.max(axis=1), each.sum(axis=1)
+            sure = np.divide(top, total, out=np.zeros(len(top)), where=total > 0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(each.argmax(axis=1), pa.int32()), pa.array(sure)], [*keep, "slot", "sure"])
+
+    schema = StructType([*rows.select(*keep).schema.fields, StructField("slot", IntegerType()), StructField("sure", DoubleType())])
+    return wide.select(*keep, *names).mapInArrow(run, schema)
+
+
 def physical_ranges(parsed: DataFrame) -> DataFrame:
     """Per property the span (in the common unit) of values whose stated unit is another than the common one,
     counted over all rows: 0.05 % cut off at each end. Labels of the common unit are sometimes wrong, so they
@@ -145,7 +218,7 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams(),
         weigh = F.when(F.col("_use") == "other", min(1.0, weight)).otherwise(1.0).alias("weight")
         label = _by_unit(F.col("stated_unit"), "c").cast("double")
         classes = [f"{x}{j}" for j in range(_SLOTS) for x in "uc"]
-        sample = stage(_features(drawn, params).select("observation_id", "stated_unit", "features", *classes, weigh, _nominal(label, "label", len(_CLASSES))).coalesce(2))
+        sample = stage(_assembled(drawn, params).select("observation_id", "stated_unit", "features", *classes, weigh, _nominal(label, "label", len(_CLASSES))).coalesce(2))
         fold = F.pmod(F.xxhash64("observation_id", F.lit(params.seed)), F.lit(5))
         forest = RandomForestClassifier(numTrees=params.trees, maxDepth=params.depth, maxBins=max(64, params.buckets), featureSubsetStrategy="0.7", subsamplingRate=0.7, seed=params.seed, probabilityCol="p", weightCol="weight")
         model = forest.fit(sample.filter(fold != 0).select("features", "label", "weight"))
@@ -153,7 +226,10 @@ def recorded_scales(observations: DataFrame, params: UnitParams = UnitParams(),
         seen = {int(r["b"]): (r["right"], r["n"]) for r in told.groupBy("b").agg(F.sum(F.col("right") * F.col("weight")).alias("right"), F.sum("weight").alias("n")).collect()}
         curve = F.array(*[F.lit(x) for x in _calibrate(seen)])
         asked = rows if stated_too else rows.filter("stated_unit is null or stated_unit = common_unit")
-        scored = _choice(model.transform(_features(asked, params))).select(*base, "guess", curve[_step(F.col("sure"))].alias("confidence"))
+        guess = F.when(F.col("slot") == 0, F.col("u0"))
+        for j in range(1, _SLOTS):
+            guess = guess.when(F.col("slot") == j, F.col(f"u{j}"))
+        scored = _scored(asked, params, model, base[:6]).join(constants, "property").select(*base, guess.alias("guess"), curve[_step(F.col("sure"))].alias("confidence"))
         if not stated_too:
             scored = scored.unionByName(rows.filter("stated_unit <> common_unit").select(*base).withColumns({"guess": F.col("stated_unit"), "confidence": F.lit(None).cast("double")}))
     assumed = F.coalesce("stated_unit", "common_unit")

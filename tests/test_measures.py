@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,21 @@ def test_forest_decides(spark):
     moved = lambda p: recorded_scales(many, p).filter("recorded_unit <> common_unit").select("observation_id").distinct().join(told, "observation_id", "left_anti").count()
     assert moved(UnitParams()) > 10 and moved(UnitParams(confident=1.1)) == 0
     assert recorded_scales(many, UnitParams(confident=1.1)).filter("review").count() > 10
+
+
+def test_trees_are_walked_in_tasks(spark, small):
+    """No row goes through a chain of vector functions one by one; the arrays say the same as Spark's forest."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from stillhouse.operators.units import Forest
+
+    plan = recorded_scales(spark.read.parquet(f"{small}/property_observations.parquet"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF(" not in plan and "MapInArrow" in plan
+    nominal = {"ml_attr": {"type": "nominal", "name": "b", "vals": ["0", "1", "2", "3", "4"]}}
+    rows = spark.range(3000).select((F.rand(1) * 9 - 3).alias("a"), F.floor(F.rand(2) * 5).cast("double").alias("b", metadata=nominal), F.randn(3).alias("c"))
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(rows).withColumn("label", F.when(F.col("b") % 2 == 1, 2.0).when(F.col("a") > F.col("c"), 1.0).otherwise(0.0)).cache()
+    model = RandomForestClassifier(numTrees=5, maxDepth=6, seed=1).fit(rows)
+    told = model.transform(rows).select("features", "probability").collect()
+    x = np.array([r["features"].toArray() for r in told])
+    assert np.allclose(Forest(model, spark).probabilities(x), np.array([r["probability"].toArray() for r in told]), atol=1e-12)
