@@ -90,3 +90,13 @@ def test_scenarios_are_searched_in_one_pass(spark, small):
     for query in (P.holdout_grid, P.leave_one_out):
         text = plan(query(spark, small))
         assert "Join" not in text and text.count("MapInArrow") == 1
+
+
+def test_a_block_holds_what_crowds(spark):
+    """20,000 rows of 120 features, read in one task, are one block: rows of a spot form one crowd, not one per block."""
+    from stillhouse.operators.block_search import _NUMBERS, Measure, _in_crowds
+
+    spots = spark.range(0, 20_000, 1, 1).select("id", F.expr("transform(sequence(1, 120), i -> cast((id % 50) * i as double))").alias("x"))
+    staged = _in_crowds(spots, Measure(np.ones(120), np.ones(120)), np.arange(120), min(65_536, _NUMBERS // 120))
+    crowd = np.array([r["crowd"] for r in staged.select("crowd").collect()])
+    assert 1 + (np.diff(crowd) != 0).sum() == 50
